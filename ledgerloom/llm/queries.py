@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mixing
+from . import ann, langid, linededup, mixing, secrets
 from .common import table
 
 
@@ -28,8 +28,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op8_line_dedup": op8_line_dedup}
+    return {"op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
