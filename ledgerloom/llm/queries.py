@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mixing, pii, secrets, urls, warc
+from . import ann, langid, linededup, mixing, neardup, pii, secrets, urls, warc
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
+    return {"op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE, "op8_line_dedup": linededup.ORACLE}
+    return {"op6_warc": warc.ORACLE, "op7_near_dedup": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE}
