@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mixing, neardup, pii, secrets, urls, warc
+from . import ann, decontaminate, langid, linededup, mixing, neardup, pii, secrets, urls, warc
 from .common import table
 
 
@@ -58,8 +58,13 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:

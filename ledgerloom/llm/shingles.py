@@ -33,13 +33,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words of each row)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words of each row); is_gap: the bytes between words."""
     n = len(offsets) - 1
     text = np.full(len(data) + n + 1, 32, np.uint8)
     text[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets)) + 1] = _LOWER[data]
     starts = offsets[:-1] + np.arange(n)
-    gap = _GAP[text]
+    gap = is_gap[text]
     begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
     power, inverse = powers(len(text))
