@@ -83,38 +83,57 @@ def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large-star and small-star rounds.
-
-    ``edges`` has bigint columns u, v. Returns (node, component): each node that has an edge to
-    another, with the smallest node reachable from it. Every round is a grouped minimum (combined
-    before the shuffle) and one equi-join that adaptive execution may split, and ends in a table in
-    the shared folder. Null ends and loops are ignored; an empty input gives an empty result.
+#: Edges (16 bytes each) that one task may hold to join them up in memory.
+SMALL_EDGES = 2_000_000
+
+
+def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable from each) of an edge list, in memory."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        m = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, low[a], m)
+        np.minimum.at(new, low[b], m)
+        while True:  # every label points at a label: follow to the end
+            jump = new[new]
+            if (jump == new).all():
+                break
+            new = jump
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def components(edges: DataFrame, max_rounds: int = 40, small: int = SMALL_EDGES) -> DataFrame:
+    """Connected components: (node, component), the smallest node reachable, for nodes with an edge to another.
+
+    ``edges`` has bigint columns u, v. Distinct edges up to ``small`` (a fixed bound on memory) are
+    joined up by one executor task; more of them by alternating large-star and small-star rounds, each a
+    grouped minimum (combined before the shuffle) and an equi-join that adaptive execution may split,
+    ending in a table in the shared folder. Both give the same rows. Null ends and loops are
+    ignored; an empty input gives an empty result.
     """
     e = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    if e.limit(small + 1).count() <= small:
+        return cut(e.coalesce(1).mapInArrow(_joined_up, "node long, component long"), "components")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 1e6)).first())
 
     before = mark(e)
-    if not before[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()  # a > b always
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a")
-        e = (
-            small.select(F.col("m").alias("u"), F.col("b").alias("v"))
-            .union(small.select(F.col("m").alias("u"), F.col("a").alias("v")))
-            .where("u <> v")
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            .distinct()
-        )
-        e = cut(e, "edges")
+        near = large.join(low2, "a")
+        e = near.select(F.col("m").alias("u"), F.col("b").alias("v")).union(near.select(F.col("m").alias("u"), F.col("a").alias("v")))
+        e = cut(e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
         after = mark(e)
         if after == before:
             break
@@ -122,3 +141,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(e.select("u", F.col("u").alias("v")).distinct())
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        nodes, low = labels(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["node", "component"])
