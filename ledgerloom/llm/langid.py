@@ -14,7 +14,7 @@ is not held out. Extra columns are ignored. Any text length: words are streamed
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, one_array, utf8_batches
+from .common import one_array, utf8_batches
 
 #: Labelled rows per language that the model is fitted on, in expectation (drawn by hash).
 SAMPLE_PER_LANGUAGE = 1500
@@ -31,7 +31,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 4.0
 MAX_LANGUAGES = 4
-EM_ROUNDS = 12
+EM_ROUNDS = 8
 BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
 #: A word's log-likelihoods differ by at most this between languages: one odd word decides nothing.
@@ -103,7 +103,7 @@ def count_partial():
                         own = c[starts[i] : ends[i]]
                         tally[k] += np.bincount(own[own >= 0], minlength=BUCKETS)
         for lang, tally in counts.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "counts": pa.array([tally.astype(np.int64).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "counts": pa.array([zlib.compress(tally.astype(np.int32).tobytes(), 1)], pa.binary())})
 
     return run
 
@@ -128,7 +128,7 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str]
     counts = np.zeros((len(ORDERS), len(langs), BUCKETS), np.float64)
     parts = rows.coalesce(8).mapInArrow(count_partial(), "lang string, counts binary")
     for r in parts.toLocalIterator():
-        counts[:, langs.index(r["lang"]), :] += np.frombuffer(r["counts"], np.int64).reshape(len(ORDERS), BUCKETS)
+        counts[:, langs.index(r["lang"]), :] += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(len(ORDERS), BUCKETS)
     total = counts.sum(axis=2, keepdims=True)
     seen = (counts.sum(axis=1, keepdims=True) > 0).sum(axis=2, keepdims=True)
     return langs, np.log((counts + 0.5) / (total + 0.5 * np.maximum(seen, 1) + 1)).astype(np.float32)
@@ -159,16 +159,29 @@ def mixture(weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed:
 
     weights: likelihood of each word [word, language]; allowed: the language set of each document.
     """
-    pi = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
+    pi = (allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)).astype(np.float32)
     row = np.repeat(np.arange(len(sizes)), sizes)
     for _ in range(rounds):
         joint = weights * pi[row]
         joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-30)
-        pi = np.add.reduceat(joint, starts, axis=0) / sizes[:, None]
+        pi = np.add.reduceat(joint, starts, axis=0) / sizes[:, None].astype(np.float32)
     ll = np.add.reduceat(np.log(np.maximum((weights * pi[row]).sum(axis=1), 1e-30)), starts)
     return pi, ll
 
 
+def gain_bound(log_w: np.ndarray, best: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steep: float = 8.0) -> np.ndarray:
+    """At most this can any mixture gain on the best single language, for each document.
+
+    The log-likelihood is concave in the proportions, so the slopes at the single language bound the
+    gain; words whose likelihood ratio is over ``steep`` count with the logarithm that they can gain at most.
+    """
+    ratio = np.exp(log_w - np.take_along_axis(log_w, np.repeat(best, sizes)[:, None], axis=1))
+    top = ratio.max(axis=1)
+    odd = top > steep
+    slope = np.add.reduceat(np.where(odd[:, None], 0, ratio - 1), starts, axis=0).max(axis=1)
+    return np.maximum(slope, 0) + np.add.reduceat(np.where(odd, np.log(top), 0), starts)
+
+
 def infer(log_w: np.ndarray, per_row: np.ndarray, max_languages: int = MAX_LANGUAGES, penalty: float = PENALTY) -> np.ndarray:
     """Proportions [row, language] under the language set of best penalised likelihood. Rows without words get zeros."""
     n_lang = log_w.shape[1]
@@ -184,10 +197,8 @@ def infer(log_w: np.ndarray, per_row: np.ndarray, max_languages: int = MAX_LANGU
     chosen[np.arange(len(full)), best] = 1
     value = single.max(axis=1)
     cost = penalty * 0.5 * np.log(sizes + 1.0)
-    # What a second language could gain at most is what every word gains from its own best language.
-    open_ = np.flatnonzero(-value > cost) if n_lang > 1 else np.zeros(0, int)
+    open_ = np.flatnonzero(gain_bound(log_w, best, starts, sizes) > cost) if n_lang > 1 else np.zeros(0, int)
     if len(open_):
-        order = None
         rows, word = take(open_, starts, sizes)
         w = np.exp(log_w[word])
         pi, _ = mixture(w, rows, sizes[open_], np.ones((len(open_), n_lang)))
