@@ -138,15 +138,19 @@ class Index:
             size = ea - sa
             pick = np.repeat(sa - (np.cumsum(size) - size), size) + np.arange(size.sum())
             bound = np.add.reduceat(self.block_max[term[pick]], np.cumsum(size) - size, axis=0)
-            for w, b in zip(*np.nonzero(bound >= threshold), strict=True):
+            alive = bound >= threshold
+            for b in np.flatnonzero(alive.any(axis=0)):
                 terms, weight = self.blocks[b]
-                t = term[sa[w] : ea[w]]
+                own = np.flatnonzero(alive[:, b])
+                n = size[own]
+                t = term[np.repeat(sa[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 i = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
-                score = weight[i[terms[i] == t]].sum(axis=0)
-                p = int(passage[sa[w]])
-                r = int(np.searchsorted(base, p, side="right")) - 1
-                for c in np.flatnonzero(score >= threshold):
-                    yield r, (p - int(base[r])) * s, self.items[b * BLOCK_ITEMS + c], float(score[c])
+                i[terms[i] != t] = len(terms)  # the row of zeros
+                score = np.add.reduceat(weight[i], np.cumsum(n) - n, axis=0)
+                for w, c in zip(*np.nonzero(score >= threshold), strict=True):
+                    p = int(passage[sa[own[w]]])
+                    r = int(np.searchsorted(base, p, side="right")) - 1
+                    yield r, (p - int(base[r])) * s, self.items[b * BLOCK_ITEMS + c], float(score[w, c])
 
     def leaks(self, words: np.ndarray, per_row: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(row, item_id, overlap) of every retrieved item that is verified; best overlap per row and item."""
