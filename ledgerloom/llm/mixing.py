@@ -26,9 +26,10 @@ from .common import WORD, cut, null_rank
 BLOCK_WORDS = 32
 SLOTS_PER_SHARD = 4096
 MAX_REPEATS = 3
-ROUNDS = 24
+ROUNDS = 16
 BUCKET_ROWS = 4096
 CHUNK_SLOTS = 4096
+TASK_SLOTS = 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -120,7 +121,8 @@ def slots(targets: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slo
     per = per.select("s", "n", "slots", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("start"), F.sum("slots").over(every).alias("pool"))
     # Slots are laid out in chunks first, so that a source with a third of them is many tasks.
     chunks = per.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))))
-    chunks = chunks.repartition("s", "chunk")
+    pool = per.agg(F.sum("slots")).first()[0] or 0
+    chunks = chunks.repartition(max(1, -(-pool // TASK_SLOTS)), "s", "chunk")  # a few short rows now, TASK_SLOTS rows a task soon
     low = F.col("chunk") * CHUNK_SLOTS
     each = chunks.withColumn("j", F.explode(F.sequence(low, F.least(low + CHUNK_SLOTS, F.col("slots")) - 1)))
     place = permuted(F.col("start") + F.col("j"), F.col("pool"), F.lit(seed), F.lit(-1))
@@ -138,7 +140,7 @@ def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots_pe
     sized = cut(sizes(docs), "sizes")
     targets = cut(source_targets(sized), "targets")
     pieces = pack(sized, targets, block_words)
-    return sized, targets, slots(targets, seed, block_words, slots_per_shard).join(pieces, ["s", "block"])
+    return sized, targets, slots(targets, seed, block_words, slots_per_shard).join(pieces.hint("merge"), ["s", "block"])
 
 
 def taken(docs: DataFrame, seed: int = 1) -> DataFrame:
@@ -169,7 +171,7 @@ def shards(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots
     part = F.struct(F.col("doc_id"), F.col("p.first").alias("first"), F.array_join(F.slice("w", (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), " ").alias("t"))
     blocks = cutup.select("s", F.col("p.block").alias("block"), F.col("p.words").alias("words"), part.alias("part"))
     blocks = blocks.groupBy("s", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("words").alias("n_words"))
-    out = slots(targets, seed, block_words, slots_per_shard).join(blocks, ["s", "block"])
+    out = slots(targets, seed, block_words, slots_per_shard).join(blocks.hint("merge"), ["s", "block"])
     few = targets.select("s", "source")
     out = out.join(F.broadcast(few) if bounded(few) else few, "s")
     return out.select("shard", "slot", "source", F.col("parts.doc_id").alias("doc_ids"), "n_words", F.array_join("parts.t", " ").alias("text"))
