@@ -49,6 +49,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Short rows (a few numbers each) that may be handed to every task.
+HANDED_OUT_ROWS = 500_000
+
+
+def handed_out(df: DataFrame, rows: int = HANDED_OUT_ROWS) -> DataFrame:
+    """A written table of short rows, marked for broadcast while it is known to have at most ``rows``.
+
+    Beyond that it is left as it is: the join then shuffles both sides, with the same result.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def null_rank(c: Column) -> Column:
     """0 for a value, 1 for null: sort key that puts nulls last."""
     return F.when(c.isNull(), 1).otherwise(0)

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, one_array, utf8_batches
+from .common import cut, handed_out, one_array, utf8_batches
 from .shingles import mix, word_hashes
 
 SHARD_ITEMS = 2000
@@ -214,5 +214,6 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
     gone = leaks(docs, benchmark).select(F.col("uid").alias("_u"), F.col("doc_id").alias("_d")).distinct()
+    gone = handed_out(cut(gone, "gone"))
     rows = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))
     return rows.join(gone, (F.col("_uid") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, one_array, utf8_batches
+from .common import components, cut, handed_out, one_array, utf8_batches
 from .shingles import mix, shingle_sets
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
@@ -239,6 +239,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
     clusters = cut(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = handed_out(cut(placed, "placed"))  # so that only texts with candidates are shuffled
     texts = rows.join(placed, rows["doc_id"] == placed["rep"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     texts = texts.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "text")
     texts = texts.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
@@ -255,6 +256,7 @@ def link(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose document is not the smallest of its component."""
     gone = link(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = handed_out(cut(gone, "gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
