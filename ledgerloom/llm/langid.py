@@ -126,7 +126,8 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str]
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.where(draw < rate).select("lang", "text")
     counts = np.zeros((len(ORDERS), len(langs), BUCKETS), np.float64)
-    parts = rows.coalesce(8).mapInArrow(count_partial(), "lang string, counts binary")
+    # Repartitioned, not coalesced: the corpus is scanned by as many tasks as it has splits, and only the bounded sample moves.
+    parts = rows.repartition(8).mapInArrow(count_partial(), "lang string, counts binary")
     for r in parts.toLocalIterator():
         counts[:, langs.index(r["lang"]), :] += np.frombuffer(zlib.decompress(r["counts"]), np.int32).reshape(len(ORDERS), BUCKETS)
     total = counts.sum(axis=2, keepdims=True)
