@@ -77,8 +77,8 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), step)
 
 
-def pack(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Pieces of the blocks: s, block, doc_id, order_key, first (word in the document), words.
+def place(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Where each document with words lies in its source's stream: s, doc_id, order_key, size, at (offset in words).
 
     Word offsets are prefix sums in two steps: within hashed buckets of a source (many per source,
     so that no source is one task), then over the bucket totals.
@@ -94,14 +94,23 @@ def pack(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS) -
     starts = totals.select("s", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("s", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    docs = docs.join(starts, ["s", "bucket"]).withColumn("at", F.col("at") + F.col("start"))
+    docs = docs.join(starts, ["s", "bucket"])
+    return docs.select("s", "doc_id", "order_key", "size", (F.col("at") + F.col("start")).alias("at"))
+
+
+def into_blocks(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """A row for each block that a placed document reaches into: block, first (word in the document), words; at and size go."""
     b = F.lit(block_words)
     end = F.col("at") + F.col("size")
-    docs = docs.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((end - 1) / b))))
+    rows = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((end - 1) / b))))
     first = F.greatest(F.col("at"), F.col("block") * b)
-    return docs.select(
-        "s", "block", "doc_id", "order_key", (first - F.col("at")).alias("first"), (F.least(end, (F.col("block") + 1) * b) - first).alias("words")
-    )
+    rows = rows.withColumns({"first": first - F.col("at"), "words": F.least(end, (F.col("block") + 1) * b) - first})
+    return rows.drop("at", "size")
+
+
+def pack(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Pieces of the blocks: s, doc_id, order_key, block, first (word in the document), words."""
+    return into_blocks(place(sized, targets), block_words)
 
 
 def bounded(df: DataFrame, rows: int = 100_000) -> bool:
@@ -163,13 +172,12 @@ def shards(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots
     """
     sized = cut(sizes(docs), "sizes")
     targets = cut(source_targets(sized), "targets")
-    pieces = pack(sized, targets, block_words).withColumn("piece", F.struct("block", "first", "words"))
-    per_doc = pieces.groupBy("doc_id", "order_key", "s").agg(F.array_distinct(F.collect_list("piece")).alias("pieces"))
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("order_key"), "text").dropDuplicates(["doc_id", "order_key"])
-    cutup = texts.alias("a").join(per_doc.alias("b"), F.expr("a.order_key = b.order_key and a.doc_id <=> b.doc_id"))
-    cutup = cutup.select("a.doc_id", "s", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), "pieces").withColumn("p", F.explode("pieces"))
-    part = F.struct(F.col("doc_id"), F.col("p.first").alias("first"), F.array_join(F.slice("w", (F.col("p.first") + 1).cast("int"), F.col("p.words").cast("int")), " ").alias("t"))
-    blocks = cutup.select("s", F.col("p.block").alias("block"), F.col("p.words").alias("words"), part.alias("part"))
+    # One short row a document meets its text; blocks are cut only after that.
+    cutup = texts.alias("a").join(place(sized, targets).alias("b"), F.expr("a.order_key = b.order_key and a.doc_id <=> b.doc_id"))
+    cutup = into_blocks(cutup.select("a.doc_id", "s", "at", "size", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")), block_words)
+    part = F.struct(F.col("doc_id"), F.col("first"), F.array_join(F.slice("w", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
+    blocks = cutup.select("s", "block", "words", part.alias("part"))
     blocks = blocks.groupBy("s", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("words").alias("n_words"))
     out = slots(targets, seed, block_words, slots_per_shard).join(blocks.hint("merge"), ["s", "block"])
     few = targets.select("s", "source")
