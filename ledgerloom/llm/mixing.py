@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, null_rank
+from .common import WORD, cut, handed_out, null_rank
 
 BLOCK_WORDS = 32
 SLOTS_PER_SHARD = 4096
@@ -165,6 +165,15 @@ def taken(docs: DataFrame, seed: int = 1) -> DataFrame:
     return out.select("x.doc_id", "x.source", "x.order_key", "size", "source_size", "target", "taken")
 
 
+def one_of_each(texts: DataFrame, sized: DataFrame) -> DataFrame:
+    """texts with repeated rows once. Only rows that repeat are shuffled for it; those are counted on the short rows."""
+    again = sized.groupBy("doc_id", "order_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = handed_out(cut(again.select(F.col("doc_id").alias("d"), F.col("order_key").alias("k")), "repeated"))
+    same = F.expr("order_key = k and doc_id <=> d")
+    repeated = texts.join(again, same, "left_semi").dropDuplicates(["doc_id", "order_key"])
+    return texts.join(again, same, "left_anti").unionByName(repeated)
+
+
 def shards(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
     """The mixture as text: shard, slot, source, doc_ids, n_words, text (the block's words, by spaces).
 
@@ -172,7 +181,7 @@ def shards(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots
     """
     sized = cut(sizes(docs), "sizes")
     targets = cut(source_targets(sized), "targets")
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("order_key"), "text").dropDuplicates(["doc_id", "order_key"])
+    texts = one_of_each(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("order_key"), "text"), sized)
     # One short row a document meets its text; blocks are cut only after that.
     cutup = texts.alias("a").join(place(sized, targets).alias("b"), F.expr("a.order_key = b.order_key and a.doc_id <=> b.doc_id"))
     cutup = into_blocks(cutup.select("a.doc_id", "s", "at", "size", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")), block_words)
