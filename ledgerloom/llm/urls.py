@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -145,7 +145,9 @@ def suffix_rates(ruled: DataFrame) -> tuple[list[DataFrame], float]:
     labelled = ruled.where(F.col("label").isNotNull())
     block = (F.col("label") == "block").cast("double")
     overall = labelled.agg(F.avg(block)).first()[0] or 0.0
-    return [labelled.groupBy(c.alias("suffix")).agg(((F.sum(block) + SMOOTHING * overall) / (F.count(F.lit(1)) + SMOOTHING)).alias("rate")) for c in suffixes(F.col("host"), F.col("path"))], overall
+    # Written once, so that they aren't counted again for the sample and for the verdicts, and their size is known when the join is planned.
+    each = enumerate(suffixes(F.col("host"), F.col("path")))
+    return [cut(labelled.groupBy(c.alias("suffix")).agg(((F.sum(block) + SMOOTHING * overall) / (F.count(F.lit(1)) + SMOOTHING)).alias("rate")), f"suffix{i}") for i, c in each], overall
 
 
 def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
