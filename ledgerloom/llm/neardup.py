@@ -3,12 +3,11 @@
 1. Every text becomes its shingle set, the set's identity (two 64-bit sums and its size) and
    ``TREES`` x ``DEPTH`` minhashes. Texts with equal sets are one class, represented by its smallest
    doc_id, so copies never multiply.
-2. The forest: tree t sorts the representatives by its own ``DEPTH`` minhashes. Neighbours are those
-   that share a longest common prefix of at least ``LEAST_DEPTH``; where a prefix is shared by more than
-   ``REGION``, the region's depth grows until it isn't, so dense regions are cut finer than sparse ones.
-   Inside a region all pairs are compared by the share of equal minhashes, and only a spanning
-   star of those within reach of the threshold (four standard errors) leaves the task. A region that
-   stays large at full depth is linked as one star.
+2. The forest: tree t sorts the representatives by its own ``DEPTH`` minhashes. Those that share a
+   prefix of ``LEAST_DEPTH`` are a region. All pairs of a region are compared by the share of equal
+   minhashes, and only a spanning star of those within reach of the threshold (four standard errors)
+   leaves the task. Regions over ``REGION`` are split into blocks, and every pair of blocks is a
+   task's, so a dense region is compared as wholly as a sparse one.
 3. Components of these candidate links are clusters; a true link lies inside one cluster. Clusters
    gather their texts once, and all their pairs are confirmed on full sets by counting common
    shingles. Clusters over ``BLOCK`` texts are split into blocks, and every pair of blocks is a task,
@@ -16,7 +15,8 @@
 4. Components of the confirmed links are the result.
 
 A pair at the threshold is missed if all trees part it above LEAST_DEPTH: (1 - 0.85**4)**16 is under
-1e-5. Work inside one cluster is quadratic in its distinct texts, rows are not.
+1e-5, however many share its regions. Work inside one region or cluster is quadratic in its distinct
+texts, rows are not.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing. A null doc_id takes
 no part: its component is null and it is kept. Rows that repeat a doc_id are one document for
@@ -139,13 +139,13 @@ def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def region_links(least: float) -> Callable:
-    """mapInArrow over (region, rep, signature) dealt and sorted by region."""
+    """mapInArrow over (region, p, q, rep, sketch) dealt and sorted by (region, p, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for parts in groups(batches, 1):
-            ids = np.concatenate([p.column(1).to_numpy() for p in parts])
-            sketch = np.frombuffer(b"".join(x for p in parts for x in p.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+        for parts in groups(batches, 3):
+            ids = np.concatenate([p.column(3).to_numpy() for p in parts])
+            sketch = np.frombuffer(b"".join(x for p in parts for x in p.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
             edges += stars(ids, lambda i: (sketch == sketch[i]).mean(axis=1) >= least)  # noqa: B023
             if len(edges) > 50_000:
                 yield edge_batch(edges)
@@ -203,27 +203,18 @@ def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
     """Candidate links (u, v) of the forest over (rep, signature)."""
     hashes = TREES * DEPTH
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / hashes)
-    prefix = lambda d: F.xxhash64("t", F.expr(f"substring(signature, t * {4 * DEPTH} + 1, {4 * d})"))
     each = reps.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    open_ = each.select("rep", *(prefix(d).alias(f"k{d}") for d in range(LEAST_DEPTH, DEPTH + 1)))
-    regions, large = [], None
-    for d in range(LEAST_DEPTH, DEPTH + 1):
-        counts = open_.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
-        met = cut(open_.join(counts, f"k{d}"), "regions")
-        regions.append(met.where(F.col("n") <= REGION).select(F.col(f"k{d}").alias("region"), "rep"))
-        large = met.where(F.col("n") > REGION)
-        open_ = large.drop("n", "low")
-        if large.isEmpty():
-            break
-    star = large.where("low <> rep").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    near = regions[0]
-    for r in regions[1:]:
-        near = near.unionByName(r)
+    each = each.select("rep", F.xxhash64("t", F.expr(f"substring(signature, t * {4 * DEPTH} + 1, {4 * LEAST_DEPTH})")).alias("region"))
+    sizes = each.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.when(F.col("n") > REGION, F.ceil(2 * F.col("n") / REGION)).otherwise(1).cast("int")
+    near = cut(each.join(sizes.select("region", blocks.alias("blocks")), "region"), "regions")
     # The lowest byte of each minhash is enough to compare by: equal by chance in 1 of 256.
     sketch = F.unhex(F.regexp_replace(F.hex("signature"), "......(..)", "$1"))
     near = near.join(reps.select("rep", sketch.alias("sketch")), "rep")
-    near = near.select("region", "rep", "sketch").repartition("region").sortWithinPartitions("region")
-    return near.mapInArrow(region_links(least), "u long, v long").unionByName(star)
+    near = near.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = near.select("region", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "rep", "sketch")
+    near = near.repartition("region", "p", "q").sortWithinPartitions("region", "p", "q")
+    return near.mapInArrow(region_links(least), "u long, v long")
 
 
 def link(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:

@@ -83,6 +83,21 @@ def test_large_near_group(spark, monkeypatch):
     assert sum(got[d] != low[d] for d in got) <= 1  # trees cut this fine may part a pair
 
 
+def test_large_regions_are_compared_whole(spark, monkeypatch):
+    """Pairs that part right after the prefix that more than REGION share, in every tree."""
+    monkeypatch.setattr(neardup, "REGION", 4)
+    rng = np.random.default_rng(5)
+    rows = []
+    for pair in range(10):
+        own = rng.integers(0, 2**32, (neardup.TREES, neardup.DEPTH), dtype=np.uint64).astype(">u4")
+        own[:, : neardup.LEAST_DEPTH] = np.arange(neardup.LEAST_DEPTH)
+        for i in range(2):
+            own[:, neardup.LEAST_DEPTH] += np.uint32(1)
+            rows.append((2 * pair + i, bytearray(own.tobytes())))
+    found = neardup.candidate_links(spark.createDataFrame(rows, "rep long, signature binary"), 0.85)
+    assert {(r["u"], r["v"]) for r in found.collect()} == {(2 * i, 2 * i + 1) for i in range(10)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(3, 3), (None, 4)]
