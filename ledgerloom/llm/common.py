@@ -119,6 +119,11 @@ def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = new
 
 
+def edge_mark(edges: DataFrame) -> tuple:
+    """Count and exact sum of hashes of distinct edges: the same however rows are ordered and dealt."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(19,0)"))).first())
+
+
 def components(edges: DataFrame, max_rounds: int = 40, small: int = SMALL_EDGES) -> DataFrame:
     """Connected components: (node, component), the smallest node reachable, for nodes with an edge to another.
 
@@ -133,10 +138,7 @@ def components(edges: DataFrame, max_rounds: int = 40, small: int = SMALL_EDGES)
     if e.limit(small + 1).count() <= small:
         return cut(e.coalesce(1).mapInArrow(_joined_up, "node long, component long"), "components")
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") / 1e6)).first())
-
-    before = mark(e)
+    before = edge_mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -146,7 +148,7 @@ def components(edges: DataFrame, max_rounds: int = 40, small: int = SMALL_EDGES)
         near = large.join(low2, "a")
         e = near.select(F.col("m").alias("u"), F.col("b").alias("v")).union(near.select(F.col("m").alias("u"), F.col("a").alias("v")))
         e = cut(e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-        after = mark(e)
+        after = edge_mark(e)
         if after == before:
             break
         before = after

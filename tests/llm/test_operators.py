@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import ann, decontaminate, langid, linededup, mixing, neardup, pii, secrets, urls, warc
-from ledgerloom.llm.common import components, labels
+from ledgerloom.llm.common import components, edge_mark, labels
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "ba ko mi tu re sa lo ne".split() for b in "dar lim pon ses vik tor gan hul".split()]
@@ -109,6 +109,23 @@ def test_components(spark):
     assert components(frame.limit(0)).count() == 0
 
 
+def test_settled_edges_have_one_mark(spark):
+    """However the rows are ordered and dealt; a float sum differs in its last digits."""
+    frame = spark.range(200_000).selectExpr("id % 1000 as u", "id + 1000 as v")
+    layouts = [frame.repartition(3), frame.repartition(7, "v"), frame.orderBy(F.desc("v"))]
+    assert len({edge_mark(d) for d in layouts}) == 1
+    assert edge_mark(frame) != edge_mark(frame.where("v <> 1000").union(spark.sql("select 1L, 1000L")))
+    assert edge_mark(frame.limit(0))[0] == 0
+
+
+def test_many_edges_settle(spark):
+    """More than ``small`` edges, dealt over several partitions, in components of 300 nodes."""
+    n = 60_000
+    frame = spark.range(n).selectExpr("id - id % 3 as u", "id as v").union(spark.range(n).selectExpr("id", "id + 1").where("id % 100 <> 99"))
+    got = components(frame, small=10).selectExpr("count(*) as n", "sum(cast(component <> node - node % 300 as int)) as off").first()
+    assert tuple(got) == (n, 0)
+
+
 def test_line_dedup(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
