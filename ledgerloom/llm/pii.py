@@ -48,18 +48,23 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: Spelled digits in a row that count as a number.
+#: Spelled digits in a row that count as a number by themselves; fewer count where they adjoin digits or "+".
 LEAST_SPELLED = 7
 
 _ODD = re.compile("[­ıɑɡͰ-ϿЀ-ԯԱ-֏٠-٩۰-۹०-९ -⁯⁰-₟℀-⅏−①-⓿。︀-﹯﻿＀-￯\U0001d400-\U0001d7ff]")
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-_NUMBER = re.compile(rf"(?<!\w)(plus[\s,.-]{{1,3}})?((?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9])){{{LEAST_SPELLED - 1},}})(?!\w)", re.I)
+_NUMBER = re.compile(rf"(?<!\w)(plus[\s,.-]{{1,3}})?((?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]))*)(?!\w)", re.I)
+#: What may part a shorter spelled run from digits or a plus that it continues.
+_ADJOINS = re.compile(r"(?:[ ()]{0,2}|[.-])[0-9]")
+_JOINTS = (" ", "(", ")")
 _ONE = re.compile(rf"{_WORD}|[0-9]", re.I)
 _BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|arroba|@)\s{0,3}[\])}>]\s{0,3}", re.I)
 _BRACKET_DOT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}", re.I)
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9])", re.I)
 _SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}dot\s{1,3}(?=[A-Za-z0-9])", re.I)
-_AT_WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}[A-Za-z0-9-]{1,63}(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]{1,63})+", re.I)
+_SPACED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[A-Za-z0-9-]{1,63})+", re.I)
+#: Top-level domains are letters, or encoded ones: "priced at 19.99" and "look at v2.x" hold no address.
+_LITERAL_TOP = re.compile(r"\.(?:[A-Za-z]{2,63}|xn--[A-Za-z0-9-]+)-*\Z", re.I)
 _cache: dict[str, str] = {}
 
 
@@ -148,6 +153,16 @@ class Normalised:
         return a, b
 
 
+def adjoins(text: str, start: int, end: int) -> bool:
+    """Whether digits or a plus stand right before the span, or digits right after it."""
+    i = start
+    while i > 0 and start - i < 2 and text[i - 1] in _JOINTS:
+        i -= 1
+    if i == start and i > 0 and text[i - 1] in ".-":
+        i -= 1
+    return (i > 0 and text[i - 1] in "+0123456789") or _ADJOINS.match(text, end) is not None
+
+
 def edits(text: str) -> list[tuple[int, int, str]]:
     """The transducers' rewrites of a text without homoglyphs, in order, not overlapping."""
     out = []
@@ -158,16 +173,19 @@ def edits(text: str) -> list[tuple[int, int, str]]:
         if "at" in low or "arroba" in low or "@" in text:
             out += [(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(text)]
         out += [(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(text)]
-    if " dot" in low or "\tdot" in low or "\ndot" in low:
-        for m in _AT_WORD_DOT.finditer(text):
-            first = _SPACED.match(text, m.start())
-            if first:
+    if "at" in low:
+        for first in _SPACED.finditer(text):
+            m = _SPACED_DOMAIN.match(text, first.end())
+            dots = list(_SPACED_DOT.finditer(text, first.end(), m.end()))
+            if dots or _LITERAL_TOP.search(m[0]):
                 out.append((first.start(), first.end(), "@"))
-                out += [(d.start(), d.end(), ".") for d in _SPACED_DOT.finditer(text, first.end(), m.end())]
-        if out:
-            out += [(d.start(), d.end(), ".") for d in _SPACED_DOT.finditer(text)]
-    for m in _NUMBER.finditer(text) if any(w in low for w in ("zero", "zéro", "cero", "one", "two", "three", "five", "eins", "zwei", "drei", "deux", "trois", "uno", "dos", "null", "cinq", "cinco")) else ():
+                out += [(d.start(), d.end(), ".") for d in dots]
+    if out and "dot" in low:
+        out += [(d.start(), d.end(), ".") for d in _SPACED_DOT.finditer(text)]
+    for m in _NUMBER.finditer(text) if any(w in low for w in SPELLED) else ():
         digits = [(x.start(), x.end(), SPELLED.get(x[0].lower(), x[0])) for x in _ONE.finditer(text, m.start(2), m.end(2))]
+        if len(digits) < LEAST_SPELLED and not adjoins(text, m.start(), m.end()):
+            continue
         begin = m.start()
         for k, (_, b, d) in enumerate(digits):
             out.append((begin, b, ("+" + d) if k == 0 and m[1] else d))
