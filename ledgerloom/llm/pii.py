@@ -4,7 +4,8 @@ Detection runs twice: on the text itself (the base spans), and on what the trans
 They map homoglyphs and compatibility forms to ASCII, drop invisible characters, turn spelled digits
 into digits and "(at)" / " at ... dot " disguises into "@" and ".". Each keeps which source
 characters every output character came from, so a span of the normalised text maps back to the
-source. Spans that overlap no base span are added; base spans stay.
+source. Spans that lie in no base span of their kind are added, so that one may reach over a base span
+that shows only part of an address or number; base spans stay.
 
 Edge cases: a null text is empty. Rows are independent: repeated rows, null ids and extra columns
 change nothing, and an empty table gives an empty result. Whole texts are scanned in linear time.
@@ -200,7 +201,7 @@ def edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that only the normalised text shows, in source offsets, clear of the base spans."""
+    """Spans that only the normalised text shows, in source offsets: none within a base span of its kind."""
     straight = text
     if not text.isascii() and _ODD.search(text):
         straight = text.translate({ord(c): plain(c) for c in set(_ODD.findall(text)) if c not in INVISIBLE})
@@ -208,7 +209,7 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     if not rewrites and straight is text:
         return []
     norm = Normalised(straight, rewrites)
-    taken = sorted((a, b) for _, a, b in base)
+    taken = [sorted((a, b) for k, a, b in base if k == kind) for kind in range(len(KINDS))]
     out = []
     for kind, start, end in detect(norm.text):
         a, b = norm.back(start, end)
@@ -216,8 +217,8 @@ def added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        i = bisect.bisect_left(taken, (b, 0))
-        if not any(x < b and a < y for x, y in taken[max(0, i - 3) : i + 1]):
+        i = bisect.bisect_right(taken[kind], (a, len(text)))  # spans of one kind don't overlap
+        if not i or taken[kind][i - 1][1] < b:
             out.append((kind, a, b))
     return out
 

@@ -345,6 +345,15 @@ def test_disguises_need_no_gate(text, found):
     assert [text[a:b] for _, a, b in spans] == ([found] if found else [])
 
 
+@pytest.mark.parametrize("address", ["pаul@example.com", "alice@example.cоm", "al\u200bice@example.com", "alice@example.co\u200bm", "+49 30 1234567\u200b89", "10.0.0.1\u200b7"])
+def test_spans_reach_over_a_base_span_that_shows_a_part(address):
+    text = f"to {address} and plain@example.org, 10.9.8.7"
+    base = pii.detect(text)
+    assert len(base) == 3
+    assert [text[a:b] for _, a, b in pii.added(text, base)] == [address]
+    assert pii.redacted(text) == f"to {'*' * len(address)} and {'*' * 17}, {'*' * 8}"
+
+
 def test_pii(spark):
     rows = [(1, "a@b.co"), (2, None), (3, ""), (None, "x (at) y (dot) com"), (1, "a@b.co"), (4, "a" * 300_000 + "@")]
     got = sorted((r["doc_id"] or -1, len(r["base"]), len(r["spans"])) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
