@@ -301,6 +301,20 @@ def test_secrets(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_random_hex_and_base32_are_found(spark):
+    """Small alphabets at 20 to 40 characters, and words in capitals or joined by underscores left alone."""
+    rng = random.Random(11)
+    plain = "user account config value network timeout server handler request response parser builder".split()
+    rows = []
+    for name, alphabet, n in (("hex", "0123456789abcdef", 20), ("upper hex", "0123456789ABCDEF", 32), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)):
+        rows += [(name, "x " + "".join(rng.choice(alphabet) for _ in range(n)) + " y") for _ in range(100)]
+    rows += [("text", f"x {'_'.join(rng.sample(plain, 4))}_{i} y") for i in range(300)]
+    rows += [("text", f"x {''.join(rng.sample(plain, 4)).upper()}{i % 6 + 2} y") for i in range(100)]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id string, text string"))
+    got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.sum(F.size("spans")).alias("n")).collect()}
+    assert got["hex"] > 95 and got["upper hex"] > 95 and got["base32"] > 70 and got["text"] < 8, got
+
+
 def brute_pii(t):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
