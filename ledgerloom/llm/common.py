@@ -19,9 +19,11 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is named (tests) a local one."""
+    """The shared folder that the cluster names; a local one only where none is named and all runs in one process (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = getattr(spark, "_ledgerloom_dir", None)
         if own is None:
             own = spark._ledgerloom_dir = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
@@ -40,6 +42,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called like it in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

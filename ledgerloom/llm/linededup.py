@@ -1,19 +1,23 @@
 """Incremental line dedup: sharded cuckoo filters in front of exact reference counts.
 
-The index of a corpus is a table of postings (one row for each document and kept-length line key)
-and, counted from it, exact references per key: in how many documents, and the largest doc_id. A
-batch is inserted by adding postings and removed again by taking its documents' postings out, so any
-insertion is reversible and counts are never guessed. Keys that have become duplicates go into cuckoo
-filters, sharded by key hash; filters hold fingerprints only, support deletion, and answer "not a
-duplicate" without touching the counts. Whatever passes a filter is confirmed by the exact table.
-
-Filters are used where they pay: while all of them together are under ``FILTER_BYTES``, tasks probe
-them before the exact join. Past that bound the join alone decides; results are the same.
+An index is three written tables. Postings hold a row for each document and line key long enough.
+Reference counts hold, for each key, in how many documents it is and the largest doc_id among them.
+Cuckoo filters hold the fingerprints of the keys that are duplicates, one row a shard of key hashes. Inserting
+documents adds signed deltas to the counts, and the keys that they make duplicates to the filters;
+deleting them subtracts the same deltas, looks the largest doc_id up again where it has gone, and takes the keys that
+are duplicates no more out of the filters. So every insertion is reversible, nothing is counted anew, and counts are
+never guessed.
+
+A line goes if its key passes its shard's filter and the exact counts confirm it. Filters all have one
+shape (``BUCKETS`` x ``SLOTS`` fingerprints, a few KB) and their number grows with the keys, so postings meet them in an
+equi-join by shard that the planner makes a broadcast only under its own size limit, and the probe is
+an expression. A key that finds no place in its filter's buckets is kept whole in ``spill``.
 
 Edge cases: a null or empty text is one empty line. A null doc_id is one document, never the largest.
-Repeated rows count as one document by doc_id. Lines are split at \\n only; keys are the line
-stripped of ASCII white space with A-Z lower-cased. Extra columns pass through untouched. Texts of
-any length are split whole; nothing is gathered by key or by document but the numbers of dropped lines.
+Repeated rows count as one document by doc_id; a document inserted twice counts once. Lines are split at \\n only; keys
+are the line stripped of ASCII white space with A-Z lower-cased. Extra columns pass through untouched, whatever
+their names; columns called n_lines and n_dropped are replaced. Texts of any length are split whole; nothing is gathered
+by key, and by document only the numbers of dropped lines.
 """
 
 from __future__ import annotations
@@ -23,98 +27,97 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, new_path
+from .common import SPACE_CHARS, cut, fresh
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-SHARDS = 64
-FILTER_BYTES = 64 << 20
 SLOTS = 4
-MAX_KICKS = 500
+#: Buckets of a filter, a power of two.
+BUCKETS = 256
+#: Keys of a filter on average when filters are laid out, and the most before they are laid out anew.
+SHARD_KEYS, MOST_KEYS = 500, 800
+MAX_KICKS = 200
 _STRIP = SPACE_CHARS.encode()
+#: Fixed value: spreads a fingerprint over the buckets.
+_SPREAD = 1540483477
 
 
 class CuckooFilter:
-    """Partial-key cuckoo filter over 64-bit key hashes: 4 slots a bucket, 16-bit fingerprints."""
+    """Partial-key cuckoo filter of one shard: 4 slots a bucket, 16-bit fingerprints, and whole keys that found no place.
 
-    def __init__(self, capacity: int, table: np.ndarray | None = None) -> None:
-        buckets = 1
-        while buckets * SLOTS * 0.9 < max(capacity, 1):
-            buckets *= 2
-        self.table = np.zeros((buckets, SLOTS), np.uint16) if table is None else table
-        self.mask = np.uint64(len(self.table) - 1)
+    Keys are signed 64-bit hashes: the lowest bits give the first bucket, the highest 16 the fingerprint.
+    """
 
-    @staticmethod
-    def _mix(x: np.ndarray) -> np.ndarray:
-        x = np.asarray(x, np.uint64)
-        with np.errstate(over="ignore"):
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return x ^ (x >> np.uint64(29))
+    def __init__(self, raw: bytes | None = None, spill: list[int] | None = None, buckets: int = BUCKETS) -> None:
+        flat = np.zeros(buckets * SLOTS, np.uint16) if raw is None else np.frombuffer(raw, ">u2")
+        self.slots = flat.tolist()
+        self.mask = len(self.slots) // SLOTS - 1
+        self.spill = list(spill or ())
 
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, key: int) -> tuple[int, int, int]:
         """(fingerprint, first bucket, second bucket)."""
-        h = self._mix(keys)
-        fp = (h >> np.uint64(48)).astype(np.uint16)
-        fp[fp == 0] = 1
-        a = h & self.mask
-        return fp, a, (a ^ self._mix(fp)) & self.mask
-
-    def contains(self, keys: np.ndarray) -> np.ndarray:
-        fp, a, b = self.places(keys)
-        return (self.table[a] == fp[:, None]).any(axis=1) | (self.table[b] == fp[:, None]).any(axis=1)
-
-    def insert(self, keys: np.ndarray) -> bool:
-        """False if a key found no place: build a larger filter."""
-        fps, firsts, seconds = self.places(keys)
-        rng = np.random.default_rng(1)
-        for fp, a, b in zip(fps, firsts, seconds, strict=True):
-            for at in (a, b):
-                free = np.flatnonzero(self.table[at] == 0)
-                if len(free):
-                    self.table[at, free[0]] = fp
-                    break
-            else:
-                at = a
-                for _ in range(MAX_KICKS):
-                    slot = rng.integers(SLOTS)
-                    fp, self.table[at, slot] = self.table[at, slot], fp
-                    at = (at ^ self._mix(np.array([fp]))[0]) & self.mask
-                    free = np.flatnonzero(self.table[at] == 0)
-                    if len(free):
-                        self.table[at, free[0]] = fp
-                        break
-                else:
-                    return False
-        return True
-
-    def delete(self, keys: np.ndarray) -> None:
-        """Removes one fingerprint of each key; keys must have been inserted."""
-        fps, firsts, seconds = self.places(keys)
-        for fp, a, b in zip(fps, firsts, seconds, strict=True):
-            for at in (a, b):
-                own = np.flatnonzero(self.table[at] == fp)
-                if len(own):
-                    self.table[at, own[0]] = 0
-                    break
-
-    @classmethod
-    def build(cls, keys: np.ndarray) -> CuckooFilter:
-        capacity = len(keys)
-        while True:
-            f = cls(capacity)
-            if f.insert(keys):
-                return f
-            capacity = 2 * capacity + 1
+        fp = (key >> 48) & 0xFFFF or 1
+        a = key & self.mask
+        return fp, a, self.other(a, fp)
+
+    def other(self, bucket: int, fp: int) -> int:
+        return (bucket ^ ((fp * _SPREAD) >> 7)) & self.mask
+
+    def contains(self, key: int) -> bool:
+        fp, a, b = self.places(key)
+        return fp in self.slots[a * SLOTS : a * SLOTS + SLOTS] or fp in self.slots[b * SLOTS : b * SLOTS + SLOTS] or key in self.spill
+
+    def _put(self, bucket: int, fp: int) -> bool:
+        for i in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
+            if not self.slots[i]:
+                self.slots[i] = fp
+                return True
+        return False
+
+    def insert(self, key: int) -> None:
+        fp, a, b = self.places(key)
+        if self._put(a, fp) or self._put(b, fp):
+            return
+        undo, at = [], a
+        for kick in range(MAX_KICKS):
+            i = at * SLOTS + (kick * 7 + fp) % SLOTS
+            undo.append((i, self.slots[i]))
+            fp, self.slots[i] = self.slots[i], fp
+            at = self.other(at, fp)
+            if self._put(at, fp):
+                return
+        for i, old in reversed(undo):
+            self.slots[i] = old
+        self.spill.append(key)
+
+    def delete(self, key: int) -> None:
+        """Removes a key that has been inserted."""
+        if key in self.spill:
+            self.spill.remove(key)
+            return
+        fp, a, b = self.places(key)
+        for bucket in (a, b):
+            for i in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
+                if self.slots[i] == fp:
+                    self.slots[i] = 0
+                    return
 
     def to_bytes(self) -> bytes:
-        return self.table.tobytes()
+        return np.array(self.slots, ">u2").tobytes()
 
-    @classmethod
-    def from_bytes(cls, raw: bytes) -> CuckooFilter:
-        return cls(0, np.frombuffer(raw, np.uint16).reshape(-1, SLOTS).copy())
+
+def passes(key: Column, table: Column, spill: Column) -> Column:
+    """``CuckooFilter.contains`` as an expression over a filter's row."""
+    fp = F.shiftrightunsigned(key, 48)
+    fp = F.when(fp == 0, F.lit(1).cast("long")).otherwise(fp)
+    a = key.bitwiseAND(F.lit(BUCKETS - 1))
+    b = a.bitwiseXOR(F.shiftright(fp * F.lit(_SPREAD), 7)).bitwiseAND(F.lit(BUCKETS - 1))
+    print_ = F.lpad(F.hex(fp), 4, "0")
+    held = lambda bucket: F.array(*(F.hex(F.substring(table, (bucket * (2 * SLOTS) + 2 * i + 1).cast("int"), F.lit(2))) for i in range(SLOTS)))
+    return F.array_contains(held(a), print_) | F.array_contains(held(b), print_) | F.array_contains(spill, key)
 
 
 def line_keys(min_chars: int):
@@ -146,82 +149,121 @@ def line_keys(min_chars: int):
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    """Adds ``uid``, which tells rows apart unless both doc_id and text are equal."""
-    return docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    """doc_id, text and ``uid``, which tells rows apart unless both are equal."""
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
+
+
+def changed_filters(keys: list, filters: pa.Table, changes: pa.Table) -> pa.Table:
+    """One shard's filter with its signed changes (key, sign) carried out; a shard holds a few hundred keys."""
+    old = filters.to_pylist()
+    f = CuckooFilter(old[0]["filter"], old[0]["spill"]) if old else CuckooFilter()
+    n = old[0]["n"] if old else 0
+    key, sign = (changes.column(c).to_pylist() for c in ("key", "sign"))
+    for k in (k for k, s in zip(key, sign, strict=True) if s < 0):
+        f.delete(k)
+    for k in (k for k, s in zip(key, sign, strict=True) if s > 0):
+        f.insert(k)
+    shard = old[0]["shard"] if old else keys[0].as_py()
+    return pa.table({"shard": pa.array([shard], pa.int64()), "filter": pa.array([f.to_bytes()], pa.binary()), "spill": pa.array([f.spill], pa.list_(pa.int64())), "n": pa.array([n + sum(sign)], pa.int64())})
+
+
+FILTERS = "shard long, filter binary, spill array<bigint>, n long"
 
 
 class LineIndex:
-    """Postings and exact reference counts of inserted documents; every change is reversible."""
+    """Postings, exact reference counts and cuckoo filters of inserted documents; every change is reversible."""
 
-    def __init__(self, postings: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> None:
-        self.postings, self.min_docs, self.min_chars = postings, min_docs, min_chars
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> None:
+        self.postings, self.counts, self.filters, self.shards = postings, counts, filters, shards
+        self.min_docs, self.min_chars = min_docs, min_chars
 
-    @classmethod
-    def of(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> LineIndex:
+    @staticmethod
+    def posted(docs: DataFrame, min_chars: int) -> DataFrame:
+        """The postings of some documents, as a table: doc_id, uid, pos, h1, h2."""
         kind = dict(docs.dtypes)["doc_id"]
-        rows = with_uid(docs.select("doc_id", "text")).select("doc_id", "uid", "text")
-        keys = rows.mapInArrow(line_keys(min_chars), f"doc_id {kind}, uid long, pos int, h1 long, h2 long")
-        return cls(cut(keys, "postings"), min_docs, min_chars)
+        rows = with_uid(docs).select("doc_id", "uid", "text")
+        return cut(rows.mapInArrow(line_keys(min_chars), f"doc_id {kind}, uid long, pos int, h1 long, h2 long"), "postings")
 
-    def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with a batch of documents that it doesn't hold yet."""
-        return LineIndex(self.postings.unionByName(LineIndex.of(docs, self.min_docs, self.min_chars).postings), self.min_docs, self.min_chars)
+    @staticmethod
+    def counted(postings: DataFrame) -> DataFrame:
+        """h1, h2, n_docs, last of the postings' keys; both steps are combined before their shuffle."""
+        each = postings.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+        return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
 
-    def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """The index without some documents (column doc_id): exactly as if they had never been inserted."""
-        gone = doc_ids.select(F.col("doc_id").alias("gone")).distinct()
-        left = self.postings.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-        return LineIndex(left, self.min_docs, self.min_chars)
+    @classmethod
+    def of(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> LineIndex:
+        """The index of some documents: nothing stood before, so every count is its own delta."""
+        postings = cls.posted(docs, min_chars)
+        return cls.laid_out(postings, cut(cls.counted(postings), "counts"), min_docs, min_chars)
 
-    def references(self) -> DataFrame:
-        """h1, h2, n_docs, last (largest doc_id) of every key."""
-        each = self.postings.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        return each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
+    @classmethod
+    def laid_out(cls, postings: DataFrame, counts: DataFrame, min_docs: int, min_chars: int) -> LineIndex:
+        """An index with its filters built from the counts, in as many shards as the duplicates ask for."""
+        known = counts.where(F.col("n_docs") >= min_docs)
+        shards = max(1, -(-known.count() // SHARD_KEYS))
+        none = postings.sparkSession.createDataFrame([], FILTERS)
+        changes = known.select("h1", "h2", F.lit(1).alias("sign"))
+        return cls(postings, counts, cls.changed(none, changes, shards), shards, min_docs, min_chars)
+
+    @staticmethod
+    def changed(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+        """Filters after signed changes (h1, h2, sign); shards without a change stay as they are."""
+        signed = changes.select(F.pmod("h1", F.lit(shards)).alias("shard"), F.col("h2").alias("key"), "sign")
+        return cut(filters.groupBy("shard").cogroup(signed.groupBy("shard")).applyInArrow(changed_filters, FILTERS), "filters")
 
     def duplicates(self) -> DataFrame:
-        """The references of keys found in enough documents, as a table."""
-        return cut(self.references().where(F.col("n_docs") >= self.min_docs), "references")
+        """The references of keys found in enough documents: h1, h2, n_docs, last."""
+        return self.counts.where(F.col("n_docs") >= self.min_docs)
+
+    def _after(self, postings: DataFrame, counts: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index with new postings and counts; ``touched`` (h1, h2, was, now) are the counts that changed."""
+        dup = lambda c: (F.coalesce(F.col(c), F.lit(0)) >= self.min_docs).cast("int")
+        changes = touched.select("h1", "h2", (dup("now") - dup("was")).alias("sign")).where("sign <> 0")
+        filters = self.changed(self.filters, changes, self.shards)
+        if (filters.agg(F.max("n")).first()[0] or 0) > MOST_KEYS:
+            return self.laid_out(postings, counts, self.min_docs, self.min_chars)
+        return LineIndex(postings, counts, filters, self.shards, self.min_docs, self.min_chars)
 
-    @staticmethod
-    def filters(duplicates: DataFrame, shards: int = SHARDS) -> DataFrame:
-        """shard, filter (bytes): one cuckoo filter per shard of key hashes.
-
-        A shard's hashes arrive sorted in arrays per task; shards are even, as hashes are.
-        """
-        kept = duplicates.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.col("h1").bitwiseXOR(F.col("h2")).alias("key"))
-
-        def run(keys, table):
-            made = CuckooFilter.build(np.unique(table.column("key").to_numpy()).view(np.uint64))
-            return pa.table({"shard": pa.array([keys[0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
-
-        return kept.groupBy("shard").applyInArrow(run, "shard int, filter binary")
-
-    def candidates(self, duplicates: DataFrame, shards: int = SHARDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-        """Postings that the filters let through (all, where the filters are too large to hand out)."""
-        n = duplicates.count()
-        if n * 2 * 2.3 > filter_bytes:
-            return self.postings
-        made = {r["shard"]: r["filter"] for r in self.filters(duplicates, shards).collect()}
-        shared = duplicates.sparkSession.sparkContext.broadcast(made)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            opened = {k: CuckooFilter.from_bytes(v) for k, v in shared.value.items()}
-            for batch in batches:
-                h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
-                shard = np.mod(h1, shards)
-                keep = np.zeros(len(batch), bool)
-                for s in np.unique(shard):
-                    if s in opened:
-                        own = np.flatnonzero(shard == s)
-                        keep[own] = opened[s].contains((h1[own] ^ h2[own]).view(np.uint64))
-                yield batch.filter(pa.array(keep))
-
-        return self.postings.mapInArrow(run, self.postings.schema)
+    def insert(self, docs: DataFrame) -> LineIndex:
+        """The index with a batch of documents; what it holds of them already changes nothing."""
+        new = self.posted(docs, self.min_chars)
+        held = self.postings.select("h1", "h2", F.col("doc_id").alias("d")).distinct()
+        key = ["h1", "h2"]
+        fresh_ = new.select(*key, "doc_id").distinct().alias("a")
+        fresh_ = fresh_.join(held.alias("b"), F.expr("a.h1 = b.h1 and a.h2 = b.h2 and a.doc_id <=> b.d"), "left_anti")
+        delta = cut(fresh_.groupBy(*key).agg(F.count(F.lit(1)).alias("d"), F.max("doc_id").alias("top")), "delta")
+        both = self.counts.join(delta, key, "full")
+        now = F.coalesce("n_docs", F.lit(0)) + F.coalesce("d", F.lit(0))
+        counts = cut(both.select(*key, now.alias("n_docs"), F.greatest("last", "top").alias("last")), "counts")
+        touched = delta.join(self.counts, key, "left").select(*key, F.col("n_docs").alias("was"), now.alias("now"))
+        postings = cut(self.postings.unionByName(new).dropDuplicates(["h1", "h2", "doc_id", "uid", "pos"]), "postings")
+        return self._after(postings, counts, touched)
+
+    def delete(self, doc_ids: DataFrame) -> LineIndex:
+        """The index without some documents (column doc_id): exactly as if they had never been inserted."""
+        gone = cut(doc_ids.select(F.col("doc_id").alias("gone")).distinct(), "gone")
+        same = F.col("doc_id").eqNullSafe(F.col("gone"))
+        key = ["h1", "h2"]
+        left = cut(self.postings.join(gone, same, "left_anti"), "postings")
+        delta = self.postings.join(gone, same, "left_semi").select(*key, "doc_id").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("d"))
+        delta = cut(delta, "delta")
+        now = F.col("n_docs") - F.col("d")
+        touched = cut(self.counts.join(delta, key).select(*key, F.col("n_docs").alias("was"), now.alias("now")), "touched")
+        # The largest doc_id can only be looked up again, and only for keys that lost documents.
+        again = left.join(touched.where("now > 0").select(*key), key, "left_semi").groupBy(*key).agg(F.max("doc_id").alias("last"))
+        stay = self.counts.join(touched.select(*key), key, "left_anti").select(*key, "n_docs", "last")
+        counts = stay.unionByName(touched.where("now > 0").join(again, key).select(*key, F.col("now").alias("n_docs"), "last"))
+        return self._after(left, cut(counts, "counts"), touched)
+
+    def candidates(self) -> DataFrame:
+        """Postings whose keys pass their shard's filter."""
+        probe = self.filters.select("shard", "filter", "spill")
+        hits = self.postings.withColumn("shard", F.pmod("h1", F.lit(self.shards))).join(probe, "shard")
+        return hits.where(passes(F.col("h2"), F.col("filter"), F.col("spill"))).select("doc_id", "uid", "pos", "h1", "h2")
 
     def dropped(self) -> DataFrame:
         """doc_id, uid, drops (numbers of the lines that go, from 0)."""
-        known = self.duplicates()
-        hits = self.candidates(known).join(known, ["h1", "h2"]).where("doc_id is null or doc_id <> last")
+        hits = self.candidates().join(self.duplicates(), ["h1", "h2"]).where("doc_id is null or doc_id <> last")
         return hits.groupBy("doc_id", "uid").agg(F.collect_set("pos").alias("drops"))
 
 
@@ -231,15 +273,18 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
     Columns of docs named like the added ones are replaced.
     """
     index = index or LineIndex.of(docs, min_docs, min_chars)
-    drops = index.dropped().select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), F.col("drops").alias("_drops"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias("_uid"))
-    out = rows.join(drops, (F.col("_uid") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    d, u, drops, uid = (fresh(docs.columns, n) for n in ("_d", "_u", "_drops", "_uid"))
+    gone = index.dropped().select(F.col("doc_id").alias(d), F.col("uid").alias(u), F.col("drops").alias(drops))
+    rows = docs.select(*keep, F.xxhash64("doc_id", "text").alias(uid))
+    out = rows.join(gone, (F.col(uid) == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drops"), i)), "\n")
-    n = F.coalesce(F.size("_drops"), F.lit(0)).cast("long")
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(kept)
-    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.greatest(n, F.lit(0).cast("long")), "text": text}).select(*keep, "n_lines", "n_dropped")
+    # The lines are an array's one element, so that the loop over those that stay sees a value and not the splitting.
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drops))
+    kept = F.get(F.transform(F.array(lines), lambda x: F.array_join(F.transform(stay(x), lambda i: F.get(x, i)), "\n")), 0)
+    n = F.when(F.col(drops).isNull(), F.lit(0)).otherwise(F.size(drops)).cast("long")
+    text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(kept)
+    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": n, "text": text}).select(*keep, "n_lines", "n_dropped")
 
 
 ORACLE = """

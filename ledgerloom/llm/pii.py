@@ -96,7 +96,7 @@ def detect(text: str) -> list[tuple[int, int, int]]:
             done = at + 1
         at = text.find("@", done)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _DIGIT_RUN.finditer(text):
         if m.end() - m.start() >= 16:
