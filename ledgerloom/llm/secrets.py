@@ -11,8 +11,8 @@ for base32, of the log-likelihood of text's letters against even ones. Those p-v
 separately in strata of length, so that the many short tokens don't drown the few long ones. Their
 cumulative counts come from a histogram (bounded: strata x bins), never from sorting all tokens.
 
-All of it is built-in expressions: match offsets are running lengths of what ``split`` leaves
-between the matches, and of the matches.
+All of it is built-in expressions: match offsets are prefix sums of the lengths of what ``split`` leaves
+between the matches, and of the matches, taken by chunks, so a text costs time in proportion to its length.
 
 Edge cases: a null text is empty; rows are independent, so repeated rows, null ids and extra columns
 change nothing; an empty table gives an empty result. Offsets count code points, ends are exclusive.
@@ -21,6 +21,7 @@ change nothing; an empty table gives an empty result. Offsets count code points,
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,33 +60,83 @@ _LIKELY_MEAN = sum(x * w for x, w in zip(_SHARES, _LIKELY, strict=True)) / sum(_
 _LIKELY_SPREAD = 2 * (sum(x * w * w for x, w in zip(_SHARES, _LIKELY, strict=True)) / sum(_SHARES) - _LIKELY_MEAN**2)
 STRATA = (20, 24, 32, 48, 64)
 BINS, BIN = 400, 0.05
+#: Items of an array that are summed up at a time.
+CHUNK = 128
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often ``use`` and its loops look at it: it is an array's one element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def chunked(items: Column) -> Column:
+    """An array cut into arrays of at most ``CHUNK``."""
+    return once(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, F.lit(CHUNK))))
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """zero, step(zero, items[0]), ... without the last one: an array of states before each item.
+
+    Appending copies the array, so this is for short arrays only.
+    """
+    start = F.struct(zero.alias("at"), F.filter(F.array(zero), lambda _: F.lit(False)).alias("out"))
+    return F.aggregate(items, start, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+
+def prefixes(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``running`` over an array of any length: by chunks, and over the chunks' totals. step must be associative with ``zero`` neutral."""
+
+    def both(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, step))
+        return F.flatten(F.zip_with(chunks, running(totals, zero, step), lambda c, at: running(c, at, step)))
+
+    return once(chunked(items), both)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points."""
+    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points.
+
+    The text is split and searched once; offsets are prefix sums, so the cost is linear in the text.
+    """
     kind = "array<struct<start:int,end:int,match:string>>"
-    empty = F.from_json(F.lit("[]"), kind)
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(found, i))
-        one = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def placed(parts: Column) -> Column:
+        width = F.transform(parts["found"], lambda m, i: F.length(F.get(parts["between"], i)) + F.length(m))
+        ends = F.zip_with(prefixes(width, F.lit(0), lambda a, b: a + b), width, lambda a, b: a + b)
+        return F.zip_with(parts["found"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), once(parts, placed)).otherwise(F.from_json(F.lit("[]"), kind))
+
+
+def clear_of(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no base span, both array<struct<start, end, ...>>: a binary search each.
+
+    A token meets a span if, of the spans that start before its end, one ends after its start.
+    """
+
+    def clear(b: Column) -> Column:
+        reach = F.concat(prefixes(F.transform(b, lambda x: x["end"]), F.lit(-1), lambda x, y: F.greatest(x, y)), F.array(F.array_max(F.transform(b, lambda x: x["end"]))))
+
+        def free(m: Column, ends: Column) -> Column:
+            halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.get(b, ((s["lo"] + s["hi"]) / 2).cast("int"))["start"] < m["end"], F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
+            before = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(b) + 1)).cast("int") + 1), F.struct(F.lit(0).alias("lo"), F.size(b).alias("hi")), halve, lambda s: s["lo"])
+            return F.get(ends, before) <= m["start"]
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+        return once(reach, lambda ends: F.filter(tokens, lambda m: free(m, ends)))
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(once(F.array_sort(base), clear))
 
 
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal (Abramowitz and Stegun 26.2.17), never under 1e-30."""
-    a = F.least(F.abs(z), F.lit(11.0))
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.greatest(F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-30))
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(x: Column) -> Column:
+        a = F.least(F.abs(x), F.lit(11.0))
+        poly = once(1 / (1 + 0.2316419 * a), lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        return once(F.greatest(F.exp(-a * a / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-30)), lambda p: F.when(x >= 0, p).otherwise(1 - p))
+
+    return once(z, tail)
 
 
 def battery(tokens: DataFrame) -> DataFrame:
@@ -159,8 +210,7 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     hexes = F.transform(matches(F.col("text"), HEX), span(2))
     rows = rows.select("doc_id", F.concat(assign, access, hexes).alias("base"), matches(F.col("text"), TOKEN).alias("tokens"))
     worth = lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]")
-    clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    rows = rows.withColumn("tokens", F.filter("tokens", lambda m: worth(m) & clear(m))).withColumn("row", F.expr("uuid()"))
+    rows = rows.withColumn("tokens", clear_of(F.filter("tokens", worth), F.col("base"))).withColumn("row", F.expr("uuid()"))
     rows = cut(rows, "secrets")
     each = rows.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("m")).select("row", "m.start", "m.end", F.col("m.match").alias("token"))
     tested = cut(battery(each).withColumn("stratum", stratum(F.col("n"))), "tested")
