@@ -18,8 +18,20 @@ WORD = rf"[^{SPACE}]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that go to a Python worker at a time, where the session doesn't say otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that long texts don't make large ones; a session's own setting stays."""
+    if not spark.sparkContext.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is named and all runs in one process (tests)."""
+    bounded_batches(spark)
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         if not spark.sparkContext.master.startswith("local"):
@@ -51,6 +63,7 @@ def fresh(columns: list[str], name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

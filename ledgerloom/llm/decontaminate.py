@@ -2,26 +2,32 @@
 
 Test items are the indexed documents, training passages the queries. An item's BM25 weights are
 divided by the item's own score, so a score is the share of the item's BM25 mass that a passage
-covers, and one threshold serves all items. All items at or above it are retrieved, not a top k:
-terms' upper bounds rule out passages, the terms' maxima in each block of items rule out blocks, and
-what is left is scored exactly. Both bounds are evaluated for a batch of passages at once.
+covers, and one threshold serves all items. All items at or above it are retrieved, not a top k.
+
+The index is posting lists sorted by item, with each term's largest weight and its largest weight in every block of
+``BLOCK_ITEMS`` items. A passage's cursors stand on its terms' lists; WAND takes them in order of their items until the
+largest weights reach the threshold, which names the pivot item. If the block maxima at the pivot stay
+under the threshold, all cursors skip to the end of the block; else the pivot is scored. Which
+passages can have a pivot in any block at all is told for a batch at once, from the same bounds, and cursors run on those only.
 
 Passages are windows of twice the longest item, half overlapping, so every item fits into one whole.
 A retrieved item is a leak when its 5-word shingles are in the passage to ``OVERLAP`` or more and both
 of its parts are there: the question (all sentences but the last) by its shingles and the answer (the
 last sentence) by its words, each to ``PART`` or more. Items of one sentence are question only.
 
-The index is cut into shards of ``SHARD_ITEMS`` items; one shard at a time is collected and handed
-to the tasks, and every shard is searched with every passage.
+Document frequencies, the mean length and the window are those of all items, so results don't depend on how the index is cut.
+It is cut into shards of ``SHARD_ITEMS`` items, each a broadcast of bounded size built alone on the driver; the
+corpus is read and split into words once, and a task goes through the shards one by one for every batch.
 
-Words are runs of letters and digits of the lower-cased text (non-ASCII characters are letters). Edge
-cases: texts that are null or without words hold nothing, items like that are never found; items
+Words are runs of letters and digits of the lower-cased text (non-ASCII characters are letters; items and passages are
+lower-cased by the same function). Edge cases: texts that are null or without words hold nothing, items like that are never found; items
 shorter than a shingle are one shingle. Repeated rows are each judged; null ids are kept as
-null. Extra columns pass through ``clean`` untouched. Empty tables: nothing is contaminated.
+null. Extra columns pass through ``clean`` untouched, whatever their names. Empty tables: nothing is contaminated.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, handed_out, one_array, utf8_batches
+from .common import cut, fresh, handed_out, one_array, utf8_batches
 from .shingles import mix, word_hashes
 
 SHARD_ITEMS = 2000
@@ -41,7 +48,10 @@ THRESHOLD = 0.5
 SHINGLE, OVERLAP, PART = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
 LEAST_STRIDE = 32
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Passages whose bounds are told at once, and what rounding may take off a bound.
+BOUND_PASSAGES = 1024
+SLACK = 1e-9
 
 _GAP = np.zeros(256, bool)
 _GAP[:128] = True
@@ -49,9 +59,14 @@ _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = False
 _SENTENCE = regex.compile(r"(?<=[.!?])\s+")
 
 
+def words_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashed words, words per row) of runs of texts; items and passages both go through here."""
+    for first, _, data, offsets in utf8_batches(pc.utf8_lower(texts), BLOCK_BYTES):
+        yield first, *word_hashes(data, offsets, _GAP)
+
+
 def hashed_words(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
-    return word_hashes(raw, np.array([0, len(raw)]), _GAP)[0]
+    return next(words_of(pa.array([text], pa.string())))[1]
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -82,32 +97,105 @@ def parts(item_id: int, text: str) -> Item:
     return Item(item_id, hashed_words(text), hashed_words(" ".join(sentences[:-1] if len(sentences) > 1 else sentences)), last)
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: their number, mean and largest length, and the document frequency of some words."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Statistics:
+        each = [np.unique(i.words) for i in items if len(i.words)]
+        words, df = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64),) * 2
+        sizes = [len(i.words) for i in items if len(i.words)]
+        return cls(len(sizes), float(np.mean(sizes)) if sizes else 1.0, max(sizes, default=0), dict(zip(words.tolist(), df.tolist(), strict=True)))
+
+
 class Index:
-    """One shard: vocabulary, postings weights by block of items, and the bounds."""
+    """One shard: posting lists by term (items ascending, weights), with maxima by term and by term and block."""
 
-    def __init__(self, items: list[Item]) -> None:
+    def __init__(self, items: list[Item], stats: Statistics | None = None) -> None:
         self.items = sorted((i for i in items if len(i.words)), key=lambda i: i.item_id)
+        stats = stats or Statistics.of(self.items)
         n = len(self.items)
+        self.stride = max(LEAST_STRIDE, stats.longest)
         self.vocabulary = np.unique(np.concatenate([i.words for i in self.items])) if n else np.zeros(0, np.uint64)
-        rows = [np.unique(np.searchsorted(self.vocabulary, i.words), return_counts=True) for i in self.items]
-        df = np.bincount(np.concatenate([r[0] for r in rows]), minlength=len(self.vocabulary)) if n else np.zeros(0)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(i.words) for i in self.items]) if n else 1
-        self.stride = max(LEAST_STRIDE, max((len(i.words) for i in self.items), default=0))
-        blocks = (n + BLOCK_ITEMS - 1) // BLOCK_ITEMS
-        self.block_max = np.zeros((len(self.vocabulary), blocks), np.float32)
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in range(blocks):
-            own = range(b * BLOCK_ITEMS, min(n, (b + 1) * BLOCK_ITEMS))
-            terms = np.unique(np.concatenate([rows[i][0] for i in own]))
-            weight = np.zeros((len(terms) + 1, len(own)), np.float32)
-            for c, i in enumerate(own):
-                t, tf = rows[i]
-                w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.items[i].words) / mean))
-                weight[np.searchsorted(terms, t), c] = w / w.sum()
-            self.block_max[terms, b] = weight[:-1].max(axis=1)
-            self.blocks.append((terms, weight))
-        self.term_max = self.block_max.max(axis=1) if blocks else np.zeros(0, np.float32)
+        df = np.array([stats.df[w] for w in self.vocabulary.tolist()], np.float64)
+        idf = np.log(1 + (stats.items - df + 0.5) / (df + 0.5))
+        term, owner, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for c, i in enumerate(self.items):
+            t, tf = np.unique(np.searchsorted(self.vocabulary, i.words), return_counts=True)
+            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(i.words) / stats.mean))
+            term.append(t)
+            owner.append(np.full(len(t), c))
+            weight.append(w / w.sum())
+        term, owner, weight = np.concatenate(term), np.concatenate(owner), np.concatenate(weight)
+        order = np.lexsort((owner, term))
+        term, self.owner, self.weight = term[order], owner[order], weight[order]
+        width = len(self.vocabulary)
+        self.start = np.searchsorted(term, np.arange(width + 1))
+        self.block_count = -(-n // BLOCK_ITEMS)
+        key = term * max(1, self.block_count) + self.owner // BLOCK_ITEMS
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.block = self.owner[first] // BLOCK_ITEMS
+        self.block_max = np.maximum.reduceat(self.weight, first) if len(key) else np.zeros(0)
+        self.block_start = np.searchsorted(term[first], np.arange(width + 1))
+        self.term_max = np.maximum.reduceat(self.weight, self.start[:-1]) if width else np.zeros(0)
+
+    def can_reach(self, term: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether the block maxima of a passage's terms reach the threshold in any block; terms of all passages, one after another."""
+        n = self.block_start[term + 1] - self.block_start[term]
+        at = np.repeat(self.block_start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = np.repeat(np.repeat(np.arange(len(size)), size), n) * self.block_count + self.block[at]
+        bound = np.bincount(place, self.block_max[at], len(size) * self.block_count)
+        return bound.reshape(len(size), -1).max(axis=1) >= threshold - SLACK
+
+    def wand(self, terms: list[int], threshold: float) -> Iterator[tuple[int, float]]:
+        """(number of the item, score) of every item at the threshold, for one passage's terms."""
+        lists = []
+        for t in terms:
+            a, b = int(self.start[t]), int(self.start[t + 1])
+            c, d = int(self.block_start[t]), int(self.block_start[t + 1])
+            lists.append((self.owner[a:b].tolist(), self.weight[a:b].tolist(), float(self.term_max[t]), dict(zip(self.block[c:d].tolist(), self.block_max[c:d].tolist(), strict=True))))
+        cursor = [0] * len(lists)
+        end = len(self.items)
+        where = [x[0][0] for x in lists]  # the item on which each cursor stands
+
+        def forward(k: int, item: int) -> None:
+            cursor[k] = bisect_left(lists[k][0], item, cursor[k])
+            where[k] = lists[k][0][cursor[k]] if cursor[k] < len(lists[k][0]) else end
+
+        order = list(range(len(lists)))
+        while True:
+            order = sorted((k for k in order if where[k] < end), key=where.__getitem__)
+            bound, pivot, last = 0.0, -1, 0
+            for last, k in enumerate(order):  # noqa: B007
+                bound += lists[k][2]
+                if bound >= threshold - SLACK:
+                    pivot = where[k]
+                    break
+            if pivot < 0:
+                return
+            while last + 1 < len(order) and where[order[last + 1]] == pivot:
+                last += 1
+            block = pivot // BLOCK_ITEMS
+            if sum(lists[k][3].get(block, 0.0) for k in order[: last + 1]) < threshold - SLACK:
+                # Nothing up to the end of the block, or to the next cursor behind the pivot, can reach the threshold.
+                to = min((block + 1) * BLOCK_ITEMS, where[order[last + 1]] if last + 1 < len(order) else end)
+                for k in order[: last + 1]:
+                    forward(k, to)
+            elif where[order[0]] == pivot:
+                score = sum(lists[k][1][cursor[k]] for k in order[: last + 1])
+                if score >= threshold:
+                    yield pivot, score
+                for k in order[: last + 1]:
+                    forward(k, pivot + 1)
+            else:
+                for k in order[: last + 1]:
+                    forward(k, pivot)
 
     def search(self, words: np.ndarray, per_row: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, Item, float]]:
         """(row, first word of the passage in the row, item, score) of every passage and item at the threshold."""
@@ -131,26 +219,17 @@ class Index:
         passage, term = keys // width, keys % width
         starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
         ends = np.append(starts[1:], len(keys))
-        live = np.add.reduceat(self.term_max[term], starts) >= threshold
+        live = np.add.reduceat(self.term_max[term], starts) >= threshold - SLACK
         starts, ends = starts[live], ends[live]
-        for a in range(0, len(starts), 2048):
-            sa, ea = starts[a : a + 2048], ends[a : a + 2048]
+        for a in range(0, len(starts), BOUND_PASSAGES):
+            sa, ea = starts[a : a + BOUND_PASSAGES], ends[a : a + BOUND_PASSAGES]
             size = ea - sa
             pick = np.repeat(sa - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            bound = np.add.reduceat(self.block_max[term[pick]], np.cumsum(size) - size, axis=0)
-            alive = bound >= threshold
-            for b in np.flatnonzero(alive.any(axis=0)):
-                terms, weight = self.blocks[b]
-                own = np.flatnonzero(alive[:, b])
-                n = size[own]
-                t = term[np.repeat(sa[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                i = np.minimum(np.searchsorted(terms, t), len(terms) - 1)
-                i[terms[i] != t] = len(terms)  # the row of zeros
-                score = np.add.reduceat(weight[i], np.cumsum(n) - n, axis=0)
-                for w, c in zip(*np.nonzero(score >= threshold), strict=True):
-                    p = int(passage[sa[own[w]]])
-                    r = int(np.searchsorted(base, p, side="right")) - 1
-                    yield r, (p - int(base[r])) * s, self.items[b * BLOCK_ITEMS + c], float(score[w, c])
+            for w in np.flatnonzero(self.can_reach(term[pick], size, threshold)):
+                p = int(passage[sa[w]])
+                r = int(np.searchsorted(base, p, side="right")) - 1
+                for i, score in self.wand(term[sa[w] : ea[w]].tolist(), threshold):
+                    yield r, (p - int(base[r])) * s, self.items[i], score
 
     def leaks(self, words: np.ndarray, per_row: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(row, item_id, overlap) of every retrieved item that is verified; best overlap per row and item."""
@@ -166,39 +245,63 @@ class Index:
         yield from ((r, i, v) for (r, i), v in best.items())
 
 
-def finder(index) -> object:
+def finder(shards: list[Broadcast]) -> object:
     """mapInArrow over (doc_id, uid, text): doc_id, uid, item_id, overlap of every leak."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = index.value
         for batch in batches:
-            text = pc.utf8_lower(one_array(batch.column("text")))
+            split = list(words_of(one_array(batch.column("text"))))
             at, items, overlaps = [], [], []
-            for first, _, data, offsets in utf8_batches(text, BLOCK_BYTES):
-                for r, i, v in shard.leaks(*word_hashes(data, offsets, _GAP)):
-                    at.append(first + r)
-                    items.append(i)
-                    overlaps.append(v)
+            for shard in shards:
+                index = shard.value
+                for first, words, per_row in split:
+                    for r, i, v in index.leaks(words, per_row):
+                        at.append(first + r)
+                        items.append(i)
+                        overlaps.append(v)
+                if len(shards) > 1:  # one shard in memory at a time
+                    del index
+                    shard.__dict__.pop("_value", None)
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("uid").take(rows), pa.array(items, pa.int64()), pa.array(overlaps, pa.float64())], names=["doc_id", "uid", "item_id", "overlap"])
 
     return run
 
 
+def item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (key, shard, text): key, shard, length, word of every item's distinct words."""
+    for batch in batches:
+        for first, words, per_row in words_of(one_array(batch.column("text"))):
+            row = np.repeat(np.arange(len(per_row)), per_row)
+            order = np.lexsort((words, row))
+            w, r = words[order], row[order]
+            new = np.append(True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])) if len(w) else np.zeros(0, bool)
+            w, r = w[new], r[new]
+            at = pa.array(first + r)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("shard").take(at), pa.array(per_row[r].astype(np.int64)), pa.array(w.view(np.int64))], names=["key", "shard", "length", "word"])
+
+
+def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> Iterator[Index]:
+    """The index, shard by shard, under the statistics of all items; the driver holds one shard at a time."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    items = cut(items.withColumn("key", F.xxhash64("item_id", "text")), "items")
+    shards = max(1, -(-items.count() // shard_items))
+    items = items.withColumn("shard", F.pmod(F.col("key"), F.lit(shards)))
+    terms = cut(items.select("key", "shard", "text").mapInArrow(item_terms, "key long, shard long, length long, word long"), "terms")
+    n, mean, longest = terms.select("key", "length").distinct().agg(F.count(F.lit(1)), F.avg("length"), F.max("length")).first()
+    df = terms.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    for s in range(shards):
+        own = terms.where(F.col("shard") == s).select("word").distinct().join(df, "word").collect()
+        stats = Statistics(n, float(mean or 1.0), int(longest or 0), {r["word"] & 0xFFFFFFFFFFFFFFFF: r["df"] for r in own})
+        yield Index([parts(r["item_id"], r["text"]) for r in items.where(F.col("shard") == s).collect()], stats)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """doc_id, uid (of doc_id and text), item_id, overlap of every document and item it holds, as a table."""
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    shards = max(1, -(-items.count() // shard_items))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
-    out = None
-    for s in range(shards):
-        index = Index([parts(r["item_id"], r["text"]) for r in items.where(F.col("shard") == s).collect()])
-        found = cut(rows.mapInArrow(finder(spark.sparkContext.broadcast(index)), f"doc_id {kind}, uid long, item_id long, overlap double"), "leaks")
-        out = found if out is None else out.unionByName(found)
-    return out
+    shards = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes(benchmark, shard_items)]
+    return cut(rows.mapInArrow(finder(shards), f"doc_id {kind}, uid long, item_id long, overlap double"), "leaks")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -213,7 +316,8 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows."""
-    gone = leaks(docs, benchmark).select(F.col("uid").alias("_u"), F.col("doc_id").alias("_d")).distinct()
+    d, u, uid = (fresh(docs.columns, n) for n in ("_d", "_u", "_uid"))
+    gone = leaks(docs, benchmark).select(F.col("uid").alias(u), F.col("doc_id").alias(d)).distinct()
     gone = handed_out(cut(gone, "gone"))
-    rows = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))
-    return rows.join(gone, (F.col("_uid") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").select(*docs.columns)
+    rows = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
+    return rows.join(gone, (F.col(uid) == F.col(u)) & F.col("doc_id").eqNullSafe(F.col(d)), "left_anti").select(*docs.columns)

@@ -468,7 +468,7 @@ def test_decontamination(spark):
     expected = {i: [i] for i in range(12)} | {24: [0, 1], None: [5], 25: [92]}
     for shard in (2000, 7):
         found = {}
-        for r in decontaminate.leaks(frame, bench, shard).collect():
+        for r in decontaminate.leaks(frame, bench, shard).collect():  # one shard and many
             found.setdefault(r["doc_id"], []).append(r["item_id"])
         assert {k: sorted(v) for k, v in found.items()} == expected
     judged = decontaminate.judge(frame, bench)
@@ -478,16 +478,58 @@ def test_decontamination(spark):
     assert decontaminate.clean(frame, bench.limit(0)).count() == len(rows) and decontaminate.judge(frame.limit(0), bench).count() == 0
 
 
-def test_wand_keeps_all_at_the_threshold():
+def plain_bm25(items, texts, stats=None):
+    """[text, item]: normalised BM25 of distinct words, straight from the formula."""
+    n = len(items)
+    mean = sum(len(i.words) for i in items) / n
+    df = Counter(w for i in items for w in set(i.words.tolist()))
+    out = np.zeros((len(texts), n))
+    for c, i in enumerate(items):
+        tf = Counter(i.words.tolist())
+        w = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(i.words) / mean)) for t, k in tf.items()}
+        total = sum(w.values())
+        for r, text in enumerate(texts):
+            out[r, c] = sum(w.get(t, 0.0) for t in set(text.tolist())) / total
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 4, 16])
+def test_wand_retrieves_all_at_the_threshold(monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
     rng = random.Random(4)
-    items = [decontaminate.parts(i, " ".join(words(rng, 12))) for i in range(50)]
-    index = decontaminate.Index(items)
-    texts = [np.concatenate([items[i].words[: rng.randrange(3, 12)] for i in rng.sample(range(50), 2)]) for _ in range(80)]
-    got = {(r, i.item_id) for r, _, i, _ in index.search(np.concatenate(texts), np.array([len(t) for t in texts]), 0.5)}
-    dense = np.zeros((len(index.vocabulary), 50))
-    for b, (terms, weight) in enumerate(index.blocks):
-        dense[terms, b * 16 : b * 16 + weight.shape[1]] = weight[:-1]
-    for r, t in enumerate(texts):
-        score = dense[np.unique(np.searchsorted(index.vocabulary, t))].sum(axis=0)
-        for i in np.flatnonzero(np.abs(score - 0.5) > 1e-5):
-            assert ((r, items[i].item_id) in got) == (score[i] >= 0.5)
+    few = WORDS[:25]
+    items = [decontaminate.parts(i, " ".join(rng.choice(few) for _ in range(rng.randrange(3, 14)))) for i in range(70)]
+    texts = [np.concatenate([items[i].words[: rng.randrange(2, 14)] for i in rng.sample(range(70), 2)]) for _ in range(100)]
+    score = plain_bm25(items, texts)
+    stats = decontaminate.Statistics.of(items)
+    for shards in ([items], [items[:13], items[13:40], items[40:]]):
+        found = [x for part in shards for x in decontaminate.Index(part, stats).search(np.concatenate(texts), np.array([len(t) for t in texts]), 0.5)]
+        got = {(r, i.item_id): s for r, _, i, s in found}
+        assert len(got) == len(found) and all(s == pytest.approx(score[k], abs=1e-9) for k, s in got.items())
+        sure = {(r, c) for r, c in zip(*np.nonzero(score >= 0.5 + 1e-9), strict=True)}
+        assert sure <= set(got) and 100 < len(got) and all(score[k] >= 0.5 - 1e-9 for k in got)
+
+
+def test_decontamination_statistics_do_not_depend_on_shards(spark):
+    rng = random.Random(6)
+    bench = spark.createDataFrame([(i, " ".join(words(rng, rng.randrange(4, 20)))) for i in range(40)], "item_id long, text string")
+    weights = []
+    for size in (100, 7):
+        made = list(decontaminate.indexes(bench, size))
+        assert len(made) == -(-40 // size)
+        weights.append({(i.items[o].item_id, int(i.vocabulary[t])): round(float(i.weight[k]), 12) for i in made for t in range(len(i.vocabulary)) for k in range(i.start[t], i.start[t + 1]) for o in [i.owner[k]]})
+        assert len({i.stride for i in made}) == 1
+    assert weights[0] == weights[1]
+
+
+def test_verbatim_copies_in_any_script_are_found(spark):
+    items = [(1, "ΟΔΟΣ ΜΕΓΑΣ ΛΟΓΟΣ ΚΑΛΟΣ ΦΙΛΟΣ ΣΟΦΟΣ ΔΡΟΜΟΣ ΝΕΟΣ"), (2, "İstanbul İzmir İnegöl İskenderun İmroz İliç İpsala İnebolu"), (3, "Straße GROẞ ǅ ﬁne ŉa Ça va très bien ici")]
+    docs = spark.createDataFrame(items + [(9, "nothing here at all")], "doc_id long, text string")
+    judged = decontaminate.judge(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in judged} == {1: [1], 2: [2], 3: [3], 9: []}
+
+
+def test_clean_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three", "mine", "x")], "doc_id long, text string, _uid string, _D string")
+    out = decontaminate.clean(docs, spark.createDataFrame([(1, "four five")], "item_id long, text string"))
+    assert out.columns == docs.columns and out.collect() == docs.collect()
