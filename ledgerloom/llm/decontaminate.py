@@ -5,10 +5,10 @@ divided by the item's own score, so a score is the share of the item's BM25 mass
 covers, and one threshold serves all items. All items at or above it are retrieved, not a top k.
 
 The index is posting lists sorted by item, with each term's largest weight and its largest weight in every block of
-``BLOCK_ITEMS`` items. A passage's cursors stand on its terms' lists; WAND takes them in order of their items until the
-largest weights reach the threshold, which names the pivot item. If the block maxima at the pivot stay
-under the threshold, all cursors skip to the end of the block; else the pivot is scored. Which
-passages can have a pivot in any block at all is told for a batch at once, from the same bounds, and cursors run on those only.
+``BLOCK_ITEMS`` items. Whether the largest weights of a passage's terms reach the threshold at all, and in which blocks their
+block maxima do, is told for a batch of passages at once. A passage's cursors then skip from one block that can reach
+the threshold to the next; within a block WAND takes them in order of their items until the maxima reach
+the threshold, which names the pivot item: cursors behind it skip to it, and an item that all of them stand on is scored.
 
 Passages are windows of twice the longest item, half overlapping, so every item fits into one whole.
 A retrieved item is a leak when its 5-word shingles are in the passage to ``OVERLAP`` or more and both
@@ -30,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from .common import cut, fresh, handed_out, one_array, utf8_batches
 from .shingles import mix, word_hashes
 
 SHARD_ITEMS = 2000
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 THRESHOLD = 0.5
 SHINGLE, OVERLAP, PART = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
@@ -143,59 +144,59 @@ class Index:
         self.block = self.owner[first] // BLOCK_ITEMS
         self.block_max = np.maximum.reduceat(self.weight, first) if len(key) else np.zeros(0)
         self.block_start = np.searchsorted(term[first], np.arange(width + 1))
+        self.opened: dict[int, tuple[list[int], list[float], dict[int, float]]] = {}
         self.term_max = np.maximum.reduceat(self.weight, self.start[:-1]) if width else np.zeros(0)
 
-    def can_reach(self, term: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether the block maxima of a passage's terms reach the threshold in any block; terms of all passages, one after another."""
+    def reachable(self, term: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs, in order, whose block maxima reach the threshold; terms of all passages, one after another."""
         n = self.block_start[term + 1] - self.block_start[term]
         at = np.repeat(self.block_start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         place = np.repeat(np.repeat(np.arange(len(size)), size), n) * self.block_count + self.block[at]
         bound = np.bincount(place, self.block_max[at], len(size) * self.block_count)
-        return bound.reshape(len(size), -1).max(axis=1) >= threshold - SLACK
-
-    def wand(self, terms: list[int], threshold: float) -> Iterator[tuple[int, float]]:
-        """(number of the item, score) of every item at the threshold, for one passage's terms."""
-        lists = []
-        for t in terms:
-            a, b = int(self.start[t]), int(self.start[t + 1])
-            c, d = int(self.block_start[t]), int(self.block_start[t + 1])
-            lists.append((self.owner[a:b].tolist(), self.weight[a:b].tolist(), float(self.term_max[t]), dict(zip(self.block[c:d].tolist(), self.block_max[c:d].tolist(), strict=True))))
+        return np.divmod(np.flatnonzero(bound >= threshold - SLACK), self.block_count)
+
+    def postings(self, t: int) -> tuple[list[int], list[float], dict[int, float]]:
+        """A term's items, weights and block maxima; kept once asked for."""
+        if t not in self.opened:
+            a, b, c, d = int(self.start[t]), int(self.start[t + 1]), int(self.block_start[t]), int(self.block_start[t + 1])
+            self.opened[t] = self.owner[a:b].tolist(), self.weight[a:b].tolist(), dict(zip(self.block[c:d].tolist(), self.block_max[c:d].tolist(), strict=True))
+        return self.opened[t]
+
+    def wand(self, terms: list[int], blocks: list[int], threshold: float) -> Iterator[tuple[int, float]]:
+        """(number of the item, score) of every item at the threshold, for one passage's terms and the blocks that can reach it."""
+        lists = [self.postings(t) for t in terms]
         cursor = [0] * len(lists)
-        end = len(self.items)
-        where = [x[0][0] for x in lists]  # the item on which each cursor stands
-
-        def forward(k: int, item: int) -> None:
-            cursor[k] = bisect_left(lists[k][0], item, cursor[k])
-            where[k] = lists[k][0][cursor[k]] if cursor[k] < len(lists[k][0]) else end
-
-        order = list(range(len(lists)))
-        while True:
-            order = sorted((k for k in order if where[k] < end), key=where.__getitem__)
-            bound, pivot, last = 0.0, -1, 0
-            for last, k in enumerate(order):  # noqa: B007
-                bound += lists[k][2]
-                if bound >= threshold - SLACK:
-                    pivot = where[k]
+        for block in blocks:
+            end = (block + 1) * BLOCK_ITEMS
+            here = []
+            for k, (items, _, most) in enumerate(lists):
+                if block in most:  # cursors without an item in the block skip it
+                    cursor[k] = bisect_left(items, block * BLOCK_ITEMS, cursor[k])
+                    here.append((items[cursor[k]], k))
+            while here:
+                here.sort()
+                bound, last = 0.0, -1
+                for last, (_, k) in enumerate(here):  # noqa: B007
+                    bound += lists[k][2][block]
+                    if bound >= threshold - SLACK:
+                        break
+                else:
                     break
-            if pivot < 0:
-                return
-            while last + 1 < len(order) and where[order[last + 1]] == pivot:
-                last += 1
-            block = pivot // BLOCK_ITEMS
-            if sum(lists[k][3].get(block, 0.0) for k in order[: last + 1]) < threshold - SLACK:
-                # Nothing up to the end of the block, or to the next cursor behind the pivot, can reach the threshold.
-                to = min((block + 1) * BLOCK_ITEMS, where[order[last + 1]] if last + 1 < len(order) else end)
-                for k in order[: last + 1]:
-                    forward(k, to)
-            elif where[order[0]] == pivot:
-                score = sum(lists[k][1][cursor[k]] for k in order[: last + 1])
-                if score >= threshold:
-                    yield pivot, score
-                for k in order[: last + 1]:
-                    forward(k, pivot + 1)
-            else:
-                for k in order[: last + 1]:
-                    forward(k, pivot)
+                pivot = here[last][0]
+                if here[0][0] == pivot:
+                    score = sum(lists[k][1][cursor[k]] for item, k in here if item == pivot)
+                    if score >= threshold:
+                        yield pivot, score
+                    pivot += 1
+                moved = []
+                for item, k in here:
+                    if item < pivot:
+                        items = lists[k][0]
+                        cursor[k] = bisect_left(items, pivot, cursor[k])
+                        item = items[cursor[k]] if cursor[k] < len(items) else end
+                    if item < end:
+                        moved.append((item, k))
+                here = moved
 
     def search(self, words: np.ndarray, per_row: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, int, Item, float]]:
         """(row, first word of the passage in the row, item, score) of every passage and item at the threshold."""
@@ -225,10 +226,13 @@ class Index:
             sa, ea = starts[a : a + BOUND_PASSAGES], ends[a : a + BOUND_PASSAGES]
             size = ea - sa
             pick = np.repeat(sa - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            for w in np.flatnonzero(self.can_reach(term[pick], size, threshold)):
+            owner, block = self.reachable(term[pick], size, threshold)
+            cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)] if len(owner) else []
+            for c, d in pairwise(cuts):
+                w = owner[c]
                 p = int(passage[sa[w]])
                 r = int(np.searchsorted(base, p, side="right")) - 1
-                for i, score in self.wand(term[sa[w] : ea[w]].tolist(), threshold):
+                for i, score in self.wand(term[sa[w] : ea[w]].tolist(), block[c:d].tolist(), threshold):
                     yield r, (p - int(base[r])) * s, self.items[i], score
 
     def leaks(self, words: np.ndarray, per_row: np.ndarray) -> Iterator[tuple[int, int, float]]:
