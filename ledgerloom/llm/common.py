@@ -119,7 +119,7 @@ def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 
 
 #: Edges (16 bytes each) that one task may hold to join them up in memory.
-SMALL_EDGES = 2_000_000
+SMALL_EDGES = 1_000_000
 
 
 def labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
