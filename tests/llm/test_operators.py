@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,10 +325,35 @@ def test_nearest(spark):
         hit += len({i for i, _ in got} & set(order))
         assert len(got) == 20 and all(s == pytest.approx(score[i], abs=1e-12) for i, s in got) and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
     assert hit / (20 * len(found)) >= 0.9
+    again = ann.search(frame.repartition(2, "label"))
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in again.collect()} == {(q, i, v, x) for q, got in found.items() for i, (v, x) in enumerate(got, 1)}
     few = ann.search(frame.where("vec_id in (0, 1, 2)"))
     assert sorted(r["vec_id"] for r in few.collect()) == [1, 2] and ann.search(frame.limit(0)).count() == 0
 
 
+def test_nearest_recall_with_a_short_list(spark, monkeypatch):
+    """Blocks of 8,192 vectors in several groups, and under 1 % of them scored exactly."""
+    monkeypatch.setattr(ann, "GROUP_BLOCKS", 1)
+    rng = np.random.default_rng(14)
+    n = 21_000
+    x = (rng.normal(size=(60, 48))[rng.integers(0, 60, n)] + 0.7 * rng.normal(size=(n, 48))).astype(np.float32)
+    assert n > 2 * ann.BLOCK_VECTORS and ann.SHORTLIST < 0.01 * n
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    found = {}
+    for r in ann.search(frame).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    e = x.astype(np.float64)
+    hit = 0
+    assert set(found) == set(range(0, n, 20))
+    for q, got in found.items():
+        score = e @ e[q]
+        score[q] = -np.inf
+        top = set(np.argpartition(-score, 20)[:20].tolist())
+        hit += len(top & {v for v, _ in got.values()})
+        assert sorted(got) == list(range(1, 21)) and all(s == pytest.approx(score[v], abs=1e-9) for v, s in got.values())
+    assert hit / (20 * len(found)) >= 0.9
+
+
 def test_urls(spark):
     given = ["https://a.example.org/es/1?x", "http://EXAMPLE.org/en/12", "http://b.org/x", "http://x.com/fr/", "http://x.com/de/9#a", "http://notexample.org/es/", "http://x.net/q", None, "no scheme", "http://", ""]
     rows = [(i, u) for i, u in enumerate(given)] + [(100 + i, f"http://h{i % 9}.com/{'fr' if i % 2 else 'de'}/{i}?a={i}") for i in range(300)]
