@@ -1,19 +1,23 @@
 """Mixing sources to target weights: fixed-length blocks, drawn shards, permuted indices. [native]
 
 Words of a source form one stream (documents in a fixed pseudorandom order), cut into blocks of
-``block_words`` words. The mixture is a row of output slots, ``slots_per_shard`` to a shard. Every
-shard's source counts are one multinomial draw, taken conditionally on the totals over all shards
-(the pool of slots holds each source exactly as often as its target asks, and shards draw from the
-pool without replacement), so shards vary but totals don't wander. The j-th slot of a source takes
-block ``perm(j mod n)`` of the source's n blocks, with another permutation for every pass over the
-source; blocks are joined to slots by that index.
+``block_words`` words. The mixture is a row of output slots, ``slots_per_shard`` to a shard.
+
+1. Draw: a table of source counts per shard. Every shard's counts are one multinomial draw, reconciled to the totals
+   over all shards: slots are drawn without replacement from a pool that holds each source exactly as often as its target asks, which is
+   what independent draws are under the condition that their totals are the targets'. So shards vary but totals don't wander.
+2. Map: a source's slots are numbered through the shards by running counts. Slot j is in pass floor(j / n) over the
+   source's n blocks and takes block ``perm(j mod n)``, with another permutation for every pass; the source's last block, which may be short,
+   ends each pass. The last pass stops at the target: its last slot takes only as many words of its block as are still
+   wanted, so a source's taken words are its target, rounded. Within a shard the slots are permuted as well.
+3. Join: blocks are joined to slots by their index.
 
 Permutations are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): a keyed bijection on [0, n) for
 any n, a few integer operations a round, so no index is ever sorted or stored.
 
 Edge cases: a null text has no words; null sources are one source, sorted last; repeated rows are
-separate documents; an empty table or one without words gives targets and takes of 0. Extra columns
-are ignored.
+separate documents in ``taken``, which share what was taken by whole words (the first gets the rest); an empty table or one without words gives targets and takes of 0. Extra columns
+are ignored, whatever their names. The number of sources is taken to be small: a window in one task numbers them.
 """
 
 from __future__ import annotations
@@ -26,16 +30,18 @@ from .common import WORD, cut, handed_out, null_rank
 BLOCK_WORDS = 32
 SLOTS_PER_SHARD = 4096
 MAX_REPEATS = 3
-ROUNDS = 16
+ROUNDS = 24
 BUCKET_ROWS = 4096
 CHUNK_SLOTS = 4096
+#: Shards whose counts are added up at a time.
+BUCKET_SHARDS = 4096
 TASK_SLOTS = 1 << 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and a sort key that tells rows with one doc_id apart."""
+    """doc_id, source, size (words), a sort key that tells rows with one doc_id apart and, once written, a number for each row."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("order_key"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("order_key"), F.monotonically_increasing_id().alias("row"))
 
 
 def source_targets(sized: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -99,17 +105,17 @@ def place(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def into_blocks(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """A row for each block that a placed document reaches into: block, first (word in the document), words; at and size go."""
+    """A row for each block that a placed document reaches into: block, first (word in the document), offset (in the block), words; at and size go."""
     b = F.lit(block_words)
     end = F.col("at") + F.col("size")
     rows = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((end - 1) / b))))
     first = F.greatest(F.col("at"), F.col("block") * b)
-    rows = rows.withColumns({"first": first - F.col("at"), "words": F.least(end, (F.col("block") + 1) * b) - first})
+    rows = rows.withColumns({"first": first - F.col("at"), "offset": first - F.col("block") * b, "words": F.least(end, (F.col("block") + 1) * b) - first})
     return rows.drop("at", "size")
 
 
 def pack(sized: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Pieces of the blocks: s, doc_id, order_key, block, first (word in the document), words."""
+    """Pieces of the blocks: s, doc_id, order_key, block, first (word in the document), offset (in the block), words."""
     return into_blocks(place(sized, targets), block_words)
 
 
@@ -118,51 +124,80 @@ def bounded(df: DataFrame, rows: int = 100_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def slots(targets: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """The mixture's slots: shard, slot, s, block.
-
-    A source of n blocks gets round(n x target / size) slots, never more than max_repeats x n.
-    """
-    n = F.ceil(F.col("source_size") / F.lit(block_words))
-    per = targets.where("source_size > 0").select("s", n.alias("n"), F.round(n * F.col("target") / F.col("source_size")).cast("long").alias("slots"))
+def pools(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """s, n (blocks), size, wanted (words), slots, start (in the pool of all slots), pool (its size) of every source that is asked for."""
+    per = targets.where("source_size > 0").select("s", F.ceil(F.col("source_size") / F.lit(block_words)).alias("n"), F.col("source_size").alias("size"), F.round("target").cast("long").alias("wanted"))
+    passes = F.floor(F.col("wanted") / F.col("size"))
+    count = passes * F.col("n") + F.ceil((F.col("wanted") - passes * F.col("size")) / F.lit(block_words))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("s", "n", "slots", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("start"), F.sum("slots").over(every).alias("pool"))
+    per = per.withColumn("slots", count.cast("long")).where("slots > 0")
+    return per.withColumns({"start": F.coalesce(F.sum("slots").over(before), F.lit(0)), "pool": F.sum("slots").over(every)})
+
+
+def tasks_of(pool: int) -> int:
+    return max(1, -(-pool // TASK_SLOTS))
+
+
+def draws(per: DataFrame, pool: int, seed: int = 1, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The drawn source counts, as a table: shard, s, count."""
     # Slots are laid out in chunks first, so that a source with a third of them is many tasks.
-    chunks = per.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))))
-    pool = per.agg(F.sum("slots")).first()[0] or 0
-    chunks = chunks.repartition(max(1, -(-pool // TASK_SLOTS)), "s", "chunk")  # a few short rows now, TASK_SLOTS rows a task soon
+    chunks = per.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS))))
+    chunks = chunks.repartition(tasks_of(pool), "s", "chunk")  # a few short rows now, TASK_SLOTS rows a task soon
     low = F.col("chunk") * CHUNK_SLOTS
-    each = chunks.withColumn("j", F.explode(F.sequence(low, F.least(low + CHUNK_SLOTS, F.col("slots")) - 1)))
-    place = permuted(F.col("start") + F.col("j"), F.col("pool"), F.lit(seed), F.lit(-1))
-    block = permuted(F.col("j") % F.col("n"), F.col("n"), F.lit(seed), F.col("s"), F.floor(F.col("j") / F.col("n")))
-    each = each.select("s", block.alias("block"), place.alias("place"))
-    return each.select(F.floor(F.col("place") / slots_per_shard).alias("shard"), (F.col("place") % slots_per_shard).alias("slot"), "s", "block")
+    each = chunks.select("s", "pool", F.explode(F.sequence(F.col("start") + low, F.col("start") + F.least(low + CHUNK_SLOTS, F.col("slots")) - 1)).alias("j"))
+    place = permuted(F.col("j"), F.col("pool"), F.lit(seed), F.lit(-1))
+    return cut(each.groupBy(F.floor(place / slots_per_shard).alias("shard"), "s").agg(F.count(F.lit(1)).alias("count")), "draws")
+
+
+def slots(targets: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
+    """The mixture's slots: shard, slot, s, block, most (words that the slot takes of its block)."""
+    per = cut(pools(targets, block_words), "pools")
+    pool = per.agg(F.max("pool")).first()[0] or 0
+    counts = draws(per, pool, seed, slots_per_shard).withColumn("bucket", F.floor(F.col("shard") / BUCKET_SHARDS))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    totals = counts.groupBy("s", "bucket").agg(F.sum("count").alias("c"))
+    totals = totals.select("s", "bucket", F.coalesce(F.sum("c").over(ahead(Window.partitionBy("s").orderBy("bucket"))), zero).alias("base"))
+    inside = F.coalesce(F.sum("count").over(ahead(Window.partitionBy("s", "bucket").orderBy("shard"))), zero)
+    offset = F.coalesce(F.sum("count").over(ahead(Window.partitionBy("shard").orderBy("s"))), zero)
+    counts = counts.withColumns({"inside": inside, "offset": offset, "filled": F.sum("count").over(Window.partitionBy("shard"))}).join(totals, ["s", "bucket"])
+    own = per.select("s", "n", "size", "wanted")
+    counts = counts.join(F.broadcast(own) if bounded(own) else own, "s").repartition(tasks_of(pool), "shard", "s")
+    each = counts.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).withColumn("j", F.col("base") + F.col("inside") + F.col("i"))
+    each = each.withColumns({"pass": F.floor(F.col("j") / F.col("n")), "k": F.col("j") % F.col("n")})
+    full = F.col("n") - 1  # the blocks before the last one
+    block = F.when(F.col("k") < full, permuted(F.col("k"), F.greatest(full, F.lit(1)), F.lit(seed), F.col("s"), F.col("pass"))).otherwise(F.col("k"))
+    left = F.col("wanted") - F.col("pass") * F.col("size") - F.col("k") * F.lit(block_words)  # words still wanted in the slot's pass
+    slot = permuted(F.col("offset") + F.col("i"), F.col("filled"), F.lit(seed), F.col("shard"), F.lit(-2))
+    return each.select("shard", slot.alias("slot"), "s", block.alias("block"), F.least(left, F.lit(block_words)).alias("most"))
 
 
 def mix(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots_per_shard: int = SLOTS_PER_SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sized documents, source targets, mixture).
 
-    The mixture has a row for each slot and document in its block: shard, slot, s, block, doc_id,
+    The mixture has a row for each slot and document that it takes words of: shard, slot, s, block, doc_id,
     order_key, first (word), words. The same block in several slots gives as many rows.
     """
     sized = cut(sizes(docs), "sizes")
     targets = cut(source_targets(sized), "targets")
     pieces = pack(sized, targets, block_words)
-    return sized, targets, slots(targets, seed, block_words, slots_per_shard).join(pieces.hint("merge"), ["s", "block"])
+    mixed = slots(targets, seed, block_words, slots_per_shard).join(pieces.hint("merge"), ["s", "block"]).where("offset < most")
+    return sized, targets, mixed.withColumn("words", F.least("words", F.col("most") - F.col("offset"))).drop("offset", "most")
 
 
 def taken(docs: DataFrame, seed: int = 1) -> DataFrame:
     """One row per document: doc_id, source, order_key, size, source_size, target, taken."""
     sized, targets, mixed = mix(docs, seed)
-    took = mixed.groupBy("doc_id", "order_key").agg(F.sum("words").alias("taken"))
-    # Repeated rows share doc_id and order_key: they share what was taken, by number.
-    same = sized.groupBy("doc_id", "order_key").agg(F.count(F.lit(1)).alias("same"))
+    took = mixed.groupBy("doc_id", "order_key").agg(F.sum("words").alias("words"))
+    # Repeated rows share doc_id and order_key: they share what was taken, by number, and the first gets what is left.
+    same = sized.groupBy("doc_id", "order_key").agg(F.count(F.lit(1)).alias("same"), F.min("row").alias("first"))
     took = same.alias("a").join(took.alias("b"), F.expr("a.order_key = b.order_key and a.doc_id <=> b.doc_id"), "left")
-    took = took.select(F.col("a.doc_id").alias("d"), F.col("a.order_key").alias("k"), F.floor(F.coalesce(F.col("taken"), F.lit(0)) / F.col("same")).alias("taken"))
+    took = took.select(F.col("a.doc_id").alias("d"), F.col("a.order_key").alias("k"), "same", "first", F.coalesce("words", F.lit(0)).alias("words"))
     few = F.broadcast(targets) if bounded(targets) else targets
     out = sized.alias("x").join(few.alias("t"), F.expr("x.source <=> t.source")).join(took, F.expr("x.order_key = k and x.doc_id <=> d"))
-    return out.select("x.doc_id", "x.source", "x.order_key", "size", "source_size", "target", "taken")
+    share = F.floor(F.col("words") / F.col("same")) + F.when(F.col("row") == F.col("first"), F.col("words") % F.col("same")).otherwise(0)
+    return out.select("x.doc_id", "x.source", "x.order_key", "size", "source_size", "target", share.alias("taken"))
 
 
 def one_of_each(texts: DataFrame, sized: DataFrame) -> DataFrame:
@@ -185,10 +220,13 @@ def shards(docs: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slots
     # One short row a document meets its text; blocks are cut only after that.
     cutup = texts.alias("a").join(place(sized, targets).alias("b"), F.expr("a.order_key = b.order_key and a.doc_id <=> b.doc_id"))
     cutup = into_blocks(cutup.select("a.doc_id", "s", "at", "size", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")), block_words)
-    part = F.struct(F.col("doc_id"), F.col("first"), F.array_join(F.slice("w", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
+    part = F.struct(F.col("offset"), F.col("doc_id"), F.array_join(F.slice("w", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
     blocks = cutup.select("s", "block", "words", part.alias("part"))
     blocks = blocks.groupBy("s", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"), F.sum("words").alias("n_words"))
     out = slots(targets, seed, block_words, slots_per_shard).join(blocks.hint("merge"), ["s", "block"])
     few = targets.select("s", "source")
     out = out.join(F.broadcast(few) if bounded(few) else few, "s")
-    return out.select("shard", "slot", "source", F.col("parts.doc_id").alias("doc_ids"), "n_words", F.array_join("parts.t", " ").alias("text"))
+    used = F.when(F.col("most") < F.col("n_words"), F.filter("parts", lambda p: p["offset"] < F.col("most"))).otherwise(F.col("parts"))
+    text = F.array_join("parts.t", " ")
+    text = F.when(F.col("most") < F.col("n_words"), F.call_function("substring_index", text, F.lit(" "), F.col("most").cast("int"))).otherwise(text)
+    return out.select("shard", "slot", "source", used["doc_id"].alias("doc_ids"), F.least("n_words", "most").alias("n_words"), text.alias("text"))

@@ -265,7 +265,7 @@ def test_mixing(docs):
             break
         capped |= over
     for n in names:
-        assert target[n] == pytest.approx(capped.get(n, level * weight[n])) and abs(took[n] - target[n]) <= 2 * mixing.BLOCK_WORDS
+        assert target[n] == pytest.approx(capped.get(n, level * weight[n])) and took[n] == round(target[n])
     assert sorted((r["doc_id"] or -1, r["taken"]) for r in every) == sorted((r["doc_id"] or -1, r["taken"]) for r in mixing.taken(docs.repartition(7)).collect())
     assert mixing.taken(docs.limit(0)).count() == 0 and mixing.shards(docs.limit(0)).count() == 0
     blank = mixing.taken(docs.where("doc_id in (4, 5)")).collect()
@@ -284,12 +284,46 @@ def test_mixture_text(docs):
     assert sum(count.values()) == sum(r["taken"] for r in mixing.taken(one).collect())
 
 
+def test_shares_of_repeated_rows_lose_nothing(spark):
+    rows = [(1, "a b c d e", "s")] * 3 + [(2, "f g h", "s"), (3, "i j", "t")]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    took, target = Counter(), {r["source"]: r["target"] for r in got}
+    for r in got:
+        took[r["source"]] += r["taken"]
+    assert target == {"s": pytest.approx(14), "t": pytest.approx(6)} and took == {"s": 14, "t": 6}
+
+
+def test_drawn_counts(spark):
+    """A shard's counts vary around the weights as multinomial draws do, and add up to the totals."""
+    per = spark.createDataFrame([(0, 3000, 0, 12000), (1, 9000, 3000, 12000)], "s int, slots long, start long, pool long")
+    got = {(r["shard"], r["s"]): r["count"] for r in mixing.draws(per, 12000, slots_per_shard=100).collect()}
+    first = np.array([got.get((i, 0), 0) for i in range(120)])
+    assert first.sum() == 3000 and all(got.get((i, 0), 0) + got.get((i, 1), 0) == 100 for i in range(120))
+    assert 10 < first.var() < 30  # 18.6 expected
+    other = {(r["shard"], r["s"]): r["count"] for r in mixing.draws(per, 12000, seed=2, slots_per_shard=100).collect()}
+    assert other != got
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5))).collect()]
         assert sorted(got) == list(range(n))
 
 
+def test_permutations_are_uniform(spark):
+    """Every place is as likely for every index, and for pairs of neighbours (chi-squared, four standard errors)."""
+    n, keys = 16, 20_000
+    out = spark.range(keys).select(*(mixing.permuted(F.lit(i), F.lit(n), F.col("id")).alias(f"p{i}") for i in (0, 1, 9))).toPandas().to_numpy()
+    for column in out.T:
+        count = np.bincount(column, minlength=n)
+        assert abs(((count - keys / n) ** 2 / (keys / n)).sum() - (n - 1)) < 4 * np.sqrt(2 * (n - 1))
+    cells = n * (n - 1)
+    count = np.bincount(out[:, 0] * n + out[:, 1], minlength=n * n).reshape(n, n)
+    assert count.trace() == 0
+    chi = ((count - keys / cells) ** 2 / (keys / cells))[~np.eye(n, dtype=bool)].sum()
+    assert abs(chi - (cells - 1)) < 4 * np.sqrt(2 * (cells - 1))
+
+
 def test_language(spark):
     rng = random.Random(2)
     stock = {"aa": [w for w in WORDS if w[0] in "bkm"], "bb": [w for w in WORDS if w[0] in "rsl"]}
