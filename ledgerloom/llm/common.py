@@ -50,10 +50,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends there and lost executors lose nothing."""
     path = new_path(df.sparkSession, name)
+    _cuts.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_cuts: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every table that ``cut`` has written in this process, once no result that reads them is needed; gives their number."""
+    jvm, n = spark.sparkContext._jvm, len(_cuts)
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column is called like it in either case."""
     taken = {c.lower() for c in columns}

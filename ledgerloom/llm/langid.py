@@ -4,12 +4,17 @@ Training counts character n-grams (1 to 4 bytes of lower-cased UTF-8, words padd
 language, hashed to ``BUCKETS``, from a sample of labelled rows that is bounded per language. A
 document is a bag of words, each word from one language: its log-likelihood under a language is the
 sum over its n-grams. Expectation-maximisation estimates the document's language proportions from
-these likelihoods; the language set grows from the best single language while the penalised
-likelihood (BIC: half the log of the word count per language, times ``PENALTY``) improves.
+these likelihoods, until they move by less than ``TOLERANCE``. Language sets are the likeliest 1, 2, 3, ... languages under the
+mixture of all; the set of best penalised likelihood (BIC: half the log of the word count per language, times ``PENALTY``) is taken.
+No number of languages is a limit: a language that explains less than a word can't pay for its penalty, so sets end there.
+
+The score is the posterior of the predicted language, averaged over the words, under the document's proportions smoothed by one
+word of every language: few words, or words that other languages explain as well, lower it.
 
 Edge cases: text that is null or has no letter is ``und`` with score 0; with nothing to learn from,
 so is every text. Rows with null text or language teach nothing. Repeated rows are each predicted; a null doc_id
-is not held out. Extra columns are ignored. Any text length: words are streamed in blocks.
+is not held out. Extra columns are ignored. Any text length: words are streamed in blocks, of which a text is one at most.
+The model is a table of 1 MB a language, so labels are taken to be languages, not free text.
 """
 
 from __future__ import annotations
@@ -30,9 +35,9 @@ SAMPLE_PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 PENALTY = 4.0
-MAX_LANGUAGES = 4
-EM_ROUNDS = 8
-BLOCK_BYTES = 1 << 20
+#: EM ends when no proportion of a document moves by more in a round; the rounds are a guard that the tests never meet.
+TOLERANCE, EM_ROUNDS = 1e-3, 500
+BLOCK_BYTES = 1 << 19
 UNKNOWN = "und"
 #: A word's log-likelihoods differ by at most this between languages: one odd word decides nothing.
 CLIP = 12.0
@@ -155,18 +160,27 @@ def word_likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -
     return out, per_row
 
 
-def mixture(weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """EM over documents at once: (proportions [doc, language], log-likelihood [doc]).
+def mixture(weights: np.ndarray, starts: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """EM over documents at once, each until it settles: (proportions [doc, language], log-likelihood [doc]).
 
     weights: likelihood of each word [word, language]; allowed: the language set of each document.
     """
     pi = (allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)).astype(np.float32)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    for _ in range(rounds):
-        joint = weights * pi[row]
+    open_, at, w = np.arange(len(sizes)), starts, weights
+    for _ in range(EM_ROUNDS):
+        own = sizes[open_]
+        joint = w * np.repeat(pi[open_], own, axis=0)
         joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-30)
-        pi = np.add.reduceat(joint, starts, axis=0) / sizes[:, None].astype(np.float32)
-    ll = np.add.reduceat(np.log(np.maximum((weights * pi[row]).sum(axis=1), 1e-30)), starts)
+        new = np.add.reduceat(joint, at, axis=0) / own[:, None].astype(np.float32)
+        moves = np.abs(new - pi[open_]).max(axis=1) > tolerance
+        pi[open_] = new
+        if not moves.any():
+            break
+        if moves.mean() < 0.7:
+            w = w[np.repeat(moves, own)]
+            open_ = open_[moves]
+            at = np.cumsum(sizes[open_]) - sizes[open_]
+    ll = np.add.reduceat(np.log(np.maximum((weights * np.repeat(pi, sizes, axis=0)).sum(axis=1), 1e-30)), starts)
     return pi, ll
 
 
@@ -183,40 +197,47 @@ def gain_bound(log_w: np.ndarray, best: np.ndarray, starts: np.ndarray, sizes: n
     return np.maximum(slope, 0) + np.add.reduceat(np.where(odd, np.log(top), 0), starts)
 
 
-def infer(log_w: np.ndarray, per_row: np.ndarray, max_languages: int = MAX_LANGUAGES, penalty: float = PENALTY) -> np.ndarray:
-    """Proportions [row, language] under the language set of best penalised likelihood. Rows without words get zeros."""
+def infer(log_w: np.ndarray, per_row: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions [row, language] under the language set of best penalised likelihood, posterior of the main one). Rows without words get zeros."""
     n_lang = log_w.shape[1]
-    out = np.zeros((len(per_row), n_lang), np.float64)
+    out, score = np.zeros((len(per_row), n_lang), np.float64), np.zeros(len(per_row))
     full = np.flatnonzero(per_row)
     if not len(full) or not n_lang:
-        return out
+        return out, score
     sizes = per_row[full]
     starts = np.cumsum(sizes) - sizes
     single = np.add.reduceat(log_w.astype(np.float64), starts, axis=0)
     best = single.argmax(axis=1)
     chosen = np.zeros((len(full), n_lang))
     chosen[np.arange(len(full)), best] = 1
-    value = single.max(axis=1)
+    first = single.max(axis=1)
+    value = first.copy()
     cost = penalty * 0.5 * np.log(sizes + 1.0)
+    w = np.exp(log_w)
     open_ = np.flatnonzero(gain_bound(log_w, best, starts, sizes) > cost) if n_lang > 1 else np.zeros(0, int)
     if len(open_):
         rows, word = take(open_, starts, sizes)
-        w = np.exp(log_w[word])
-        pi, _ = mixture(w, rows, sizes[open_], np.ones((len(open_), n_lang)))
+        pi, _ = mixture(w[word], rows, sizes[open_], np.ones((len(open_), n_lang)))
         order = np.argsort(-pi, axis=1, kind="stable")
-        for k in range(2, min(max_languages, n_lang) + 1):
-            allowed = np.zeros((len(open_), n_lang))
-            np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-            rows, word = take(open_, starts, sizes)
-            pi, ll = mixture(np.exp(log_w[word]), rows, sizes[open_], allowed)
-            better = ll - value[open_] > cost[open_]
-            win = open_[better]
-            chosen[win], value[win] = pi[better], ll[better]
-            open_, order = win, order[better]
-            if not len(open_):
+        worth = (pi * sizes[open_][:, None] >= 1).sum(axis=1)  # languages that explain a word at least
+        for k in range(2, n_lang + 1):
+            on = np.flatnonzero(worth >= k)
+            if not len(on):
                 break
+            docs = open_[on]
+            allowed = np.zeros((len(docs), n_lang))
+            np.put_along_axis(allowed, order[on, :k], 1, axis=1)
+            rows, word = take(docs, starts, sizes)
+            pi, ll = mixture(w[word], rows, sizes[docs], allowed)
+            better = ll - (k - 1) * cost[docs] > value[docs]
+            win = docs[better]
+            chosen[win], value[win] = pi[better], (ll - (k - 1) * cost[docs])[better]
     out[full] = chosen
-    return out
+    prior = (chosen * sizes[:, None] + 1) / (sizes[:, None] + n_lang)
+    joint = w * np.repeat(prior, sizes, axis=0).astype(np.float32)
+    main = np.take_along_axis(joint, np.repeat(chosen.argmax(axis=1), sizes)[:, None], axis=1)[:, 0] / np.maximum(joint.sum(axis=1), 1e-30)
+    score[full] = np.add.reduceat(main, starts) / sizes
+    return out, score
 
 
 def take(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +258,8 @@ def predictor(langs: list[str], shared):
             pred, score, mixes = [], [], []
             for first, n, data, offsets in utf8_batches(text, BLOCK_BYTES):
                 log_w, per_row = word_likelihoods(data, offsets, table)
-                pi = infer(log_w, per_row)
+                pi, high = infer(log_w, per_row)
                 top = pi.argmax(axis=1) if langs else np.zeros(n, int)
-                high = pi.max(axis=1) if langs else np.zeros(n)
                 for i in range(n):
                     if high[i] and not _LETTER.search(bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace")):
                         high[i] = 0
@@ -255,7 +275,7 @@ def predictor(langs: list[str], shared):
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (its proportion), proportions (map) for every row of docs."""
+    """doc_id, held_out, lang_pred, score (its posterior), proportions (map) for every row of docs."""
     langs, table = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(table)  # languages x 1 MB: bounded by the label set
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -274,8 +294,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         for batch in batches:
             text = one_array(batch.column("text"))
             ids = pa.RecordBatch.from_arrays([batch.column(0), pa.array([False] * len(batch)), text], names=["doc_id", "held_out", "text"])
-            for out in predictor(langs, shared)(iter([ids])):
-                score = out.column("score").to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(score >= least))
+            keep = [p != UNKNOWN and max(dict(m).values(), default=0.0) >= least for out in predictor(langs, shared)(iter([ids])) for p, m in zip(out.column("lang_pred").to_pylist(), out.column("proportions").to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.select(names).mapInArrow(run, schema)

@@ -3,8 +3,8 @@
 URLs that a rule covers are the labelled ones: they train boosted regression trees (logistic loss,
 histogram splits) on lexical features: lengths, depth, digit ratio, entropy, parameter counts, and
 suffix statistics (smoothed block rates of the host's last one and two labels, and of the file
-suffix, over the labelled URLs). Training takes a bounded sample of labelled rows; the statistics and
-the verdicts cover every row.
+suffix, over the labelled URLs). Training takes a bounded sample of labelled rows, each with the rates of the other
+``FOLDS`` - 1 folds of URLs, so that no row sees its own label; the statistics and the verdicts cover every row.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule, and is judged on
 its features like any other. Without labelled URLs of both kinds there is nothing to learn: every
@@ -32,8 +32,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Labelled URLs that the trees are fitted on, at most (the first by hash of the URL).
+#: Labelled rows that the trees are fitted on, at most (the first by hash of url and page_id, so that a hot url is in it by its share only).
 SAMPLE = 20_000
+FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 20.0
 SMOOTHING = 20.0
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "path_digits", "entropy", "parameters", "query_length", "hyphens", "fragment", "https", "suffix1", "suffix2", "file_suffix")
@@ -140,14 +141,24 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-score))
 
 
+def fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), url), F.lit(FOLDS)).cast("int")
+
+
 def suffix_rates(ruled: DataFrame) -> tuple[list[DataFrame], float]:
-    """(suffix, rate) of each kind of suffix over all labelled URLs, smoothed to the overall rate."""
+    """(suffix, rates) of each kind of suffix over all labelled URLs, smoothed to the overall rate: without each fold, then of all."""
     labelled = ruled.where(F.col("label").isNotNull())
     block = (F.col("label") == "block").cast("double")
     overall = labelled.agg(F.avg(block)).first()[0] or 0.0
+
+    def rate(without: int | None) -> Column:
+        own = F.lit(True) if without is None else fold(F.col("url")) != without
+        return (F.coalesce(F.sum(F.when(own, block)), F.lit(0.0)) + SMOOTHING * overall) / (F.count(F.when(own, 1)) + SMOOTHING)
+
+    rates = F.array(*(rate(f) for f in (*range(FOLDS), None))).alias("rates")
     # Written once, so that they aren't counted again for the sample and for the verdicts, and their size is known when the join is planned.
     each = enumerate(suffixes(F.col("host"), F.col("path")))
-    return [cut(labelled.groupBy(c.alias("suffix")).agg(((F.sum(block) + SMOOTHING * overall) / (F.count(F.lit(1)) + SMOOTHING)).alias("rate")), f"suffix{i}") for i, c in each], overall
+    return [cut(labelled.groupBy(c.alias("suffix")).agg(rates), f"suffix{i}") for i, c in each], overall
 
 
 def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -156,9 +167,10 @@ def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     rates, overall = suffix_rates(ruled)
     x = ruled
     for i, (c, rate) in enumerate(zip(suffixes(F.col("host"), F.col("path")), rates, strict=True)):
-        x = x.withColumn(f"_s{i}", c).join(rate.withColumnsRenamed({"suffix": f"_s{i}", "rate": f"_r{i}"}), f"_s{i}", "left")
-    x = x.select("page_id", "url", "host", "path", "rule", "label", *(F.coalesce(f"_r{i}", F.lit(overall)).alias(f"r{i}") for i in range(3)))
-    labelled = x.where(F.col("label").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(sample).toPandas()
+        x = x.withColumn(f"_s{i}", c).join(rate.withColumnsRenamed({"suffix": f"_s{i}", "rates": f"_r{i}"}), f"_s{i}", "left")
+    at = F.when(F.col("label").isNull(), FOLDS).otherwise(fold(F.col("url")))
+    x = x.select("page_id", "url", "host", "path", "rule", "label", *(F.coalesce(F.get(f"_r{i}", at), F.lit(overall)).alias(f"r{i}") for i in range(3)))
+    labelled = x.where(F.col("label").isNotNull()).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).toPandas()
     y = (labelled["label"] == "block").to_numpy(float)
     only = "block" if len(y) and y.all() else "allow"
     trees = None

@@ -35,6 +35,8 @@ ARCHIVE_BYTES = 32 << 20
 #: Ranges with at most this gap are read as one, up to RANGE_BYTES.
 GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
+#: Reading tasks, at most; each takes archives one after another.
+MOST_TASKS = 20_000
 #: Fixed value: the base32 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = "page_id long, url string, archive string, offset long, length long, digest string, record_type string, refers_to long, payload_bytes long"
@@ -178,7 +180,10 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
         if held:
             yield from fetch()
 
-    dealt = index.select("folder", "archive", "offset", "length").repartition("archive").sortWithinPartitions("folder", "archive", "offset")
+    wanted_ = index.select("folder", "archive", "offset", "length")
+    # A number of its own, as index rows are so short that adaptive execution would deal all archives to one task.
+    tasks = max(1, min(MOST_TASKS, wanted_.select("folder", "archive").distinct().count()))
+    dealt = wanted_.repartition(tasks, "folder", "archive").sortWithinPartitions("folder", "archive", "offset")
     return dealt.mapInArrow(run, schema)
 
 
