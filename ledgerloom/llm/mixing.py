@@ -9,7 +9,7 @@ Words of a source form one stream (documents in a fixed pseudorandom order), cut
 2. Map: a source's slots are numbered through the shards by running counts. Slot j is in pass floor(j / n) over the
    source's n blocks and takes block ``perm(j mod n)``, with another permutation for every pass; the source's last block, which may be short,
    ends each pass. The last pass stops at the target: its last slot takes only as many words of its block as are still
-   wanted, so a source's taken words are its target, rounded. Within a shard the slots are permuted as well.
+   wanted, so a source's taken words are its target, rounded. Within a shard the slots are dealt around in steps of a prime from a drawn start, so that sources alternate.
 3. Join: blocks are joined to slots by their index.
 
 Permutations are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): a keyed bijection on [0, n) for
@@ -35,6 +35,8 @@ BUCKET_ROWS = 4096
 CHUNK_SLOTS = 4096
 #: Shards whose counts are added up at a time.
 BUCKET_SHARDS = 4096
+#: A prime over every number of slots in a shard.
+STEP = 1_000_000_007
 TASK_SLOTS = 1 << 16
 
 
@@ -169,7 +171,7 @@ def slots(targets: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slo
     full = F.col("n") - 1  # the blocks before the last one
     block = F.when(F.col("k") < full, permuted(F.col("k"), F.greatest(full, F.lit(1)), F.lit(seed), F.col("s"), F.col("pass"))).otherwise(F.col("k"))
     left = F.col("wanted") - F.col("pass") * F.col("size") - F.col("k") * F.lit(block_words)  # words still wanted in the slot's pass
-    slot = permuted(F.col("offset") + F.col("i"), F.col("filled"), F.lit(seed), F.col("shard"), F.lit(-2))
+    slot = ((F.col("offset") + F.col("i")) * F.lit(STEP) + F.pmod(F.xxhash64(F.lit(seed), "shard"), F.col("filled"))) % F.col("filled")
     return each.select("shard", slot.alias("slot"), "s", block.alias("block"), F.least(left, F.lit(block_words)).alias("most"))
 
 
