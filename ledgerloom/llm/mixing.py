@@ -77,12 +77,16 @@ def source_targets(sized: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFram
 def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column:
     """The place of x under a keyed pseudorandom permutation of [0, n)."""
 
-    def step(state: Column, r: Column) -> Column:
-        k = F.pmod(F.xxhash64(*key, n, r), n)
-        other = F.pmod(k - state, n)
-        return F.when(F.xxhash64(*key, r, F.greatest(state, other)).bitwiseAND(1) == 1, other).otherwise(state)
+    def shuffled(v: Column) -> Column:
+        def step(state: Column, r: Column) -> Column:
+            other = F.pmod(F.xxhash64(v["key"], r) - state, v["n"])
+            return F.when(F.xxhash64(v["key"], r, F.greatest(state, other)).bitwiseAND(1) == 1, other).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), step)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), v["x"], step)
+
+    # What the rounds look at is an array's one element, so that they see values.
+    given = F.struct(x.cast("long").alias("x"), n.cast("long").alias("n"), F.xxhash64(*key, n).alias("key"))
+    return F.get(F.transform(F.array(given), shuffled), 0)
 
 
 def place(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -170,6 +174,7 @@ def slots(targets: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, slo
     each = each.withColumns({"pass": F.floor(F.col("j") / F.col("n")), "k": F.col("j") % F.col("n")})
     full = F.col("n") - 1  # the blocks before the last one
     block = F.when(F.col("k") < full, permuted(F.col("k"), F.greatest(full, F.lit(1)), F.lit(seed), F.col("s"), F.col("pass"))).otherwise(F.col("k"))
+    block = F.coalesce(block, F.lit(0).cast("long"))  # never null, so the join doesn't ask again
     left = F.col("wanted") - F.col("pass") * F.col("size") - F.col("k") * F.lit(block_words)  # words still wanted in the slot's pass
     slot = ((F.col("offset") + F.col("i")) * F.lit(STEP) + F.pmod(F.xxhash64(F.lit(seed), "shard"), F.col("filled"))) % F.col("filled")
     return each.select("shard", slot.alias("slot"), "s", block.alias("block"), F.least(left, F.lit(block_words)).alias("most"))
