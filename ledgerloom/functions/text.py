@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Characters that OCR takes for digits.
 OCR_LETTERS, OCR_DIGITS = "OolIZSB。", "0011258."
+#: Summary rows, skipped lines, table rules.
 SUMMARY = r"(?iu)^(合计|total|subtotal|grand|小計|sum)$"
 LINE_SKIP = r"(?iu)^(合计|total|subtotal|grand|小計|#|序号|項次)"
 TABLE_SEPARATOR = r"^[\|\-\+\s]*$"

@@ -8,7 +8,9 @@ expressions over the exploded items.
 from __future__ import annotations
 
 import json
+import math
 import re
+from decimal import ROUND_HALF_UP, Decimal
 from html.parser import HTMLParser
 
 import regex
@@ -45,6 +47,7 @@ TEXT = {
         r"總[数數額额][：:]\s*[\$¥￥€£]?\s*([\d,]+\.?\d*)", r"本單額[：:]\s*[\$¥￥€£]?\s*([\d,]+\.?\d*)", r"(?i)amount\s*(?:payable|due)[:\s]*\$?\s*([\d,]+\.?\d*)",
     ),
 }
+#: Fixed values, up to PIPES and the merged-file patterns: company words, currencies, summary and skipped rows, item notations.
 COMPANY_PAGE = regex.compile(r"有限公司|co\.?\s*ltd|trading|enterprise", regex.I)
 COMPANY_TEXT = regex.compile(r"有限公司|co\.?\s*ltd|company|trading|enterprise|inc\.?|corp\.?", regex.I)
 CURRENCY = (("CNY", r"¥|￥|rmb|人民币|人民幣"), ("HKD", r"hk\$|hkd|港币|港幣"), ("USD", r"\$(?!hk)|usd|us\$|美元|美金"), ("EUR", r"€|eur|欧元|歐元"), ("GBP", r"£|gbp|英镑|英鎊"))
@@ -60,6 +63,8 @@ PIPES = re.compile(r"\|[^\n]+\|[\r\n]+\|[\-:\|\s]+\|[\r\n]+(?:\|[^\n]+\|[\r\n]*)
 MERGED_NAME = re.compile(r"merge|combined|all", re.I)
 MERGED_HEAD = re.compile(r"^#{1,3}\s+.*(?:invoice|發票|销售单|收據)", re.I | re.M)
 BAND = 50
+#: Columns or rows that a cell spans, at most, as in HTML.
+MOST_SPAN = 1000
 LEAST_TABLE_SCORE = 0.3
 
 
@@ -67,17 +72,25 @@ def squeeze(s: str | None) -> str:
     return " ".join((s or "").split())
 
 
+_UNITS = {places: Decimal(1).scaleb(-places) for places in (2, 4)}
+
+
 def half_up(x: float, places: int) -> float:
-    """Rounded half away from zero on the shortest decimal form."""
-    from decimal import ROUND_HALF_UP, Decimal
+    """Rounded half away from zero on the shortest decimal form; numbers too large to have such places stay."""
+    x = float(x)
+    return float(Decimal(repr(x)).quantize(_UNITS[places], ROUND_HALF_UP)) if abs(x) < 1e15 else x
+
 
-    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+def finite(digits: str) -> float:
+    """The number that digits spell; 0 if it is too large to be one."""
+    x = float(digits)
+    return x if math.isfinite(x) else 0.0
 
 
 def first_number(s: str) -> float:
     m = re.search(r"-?[\d.]+", re.sub(r"[¥￥$€£\s,]", "", s), re.A)
     m = m and re.match(r"-?(?:\d+\.?\d*|\.\d+)", m[0], re.A)
-    return float(m[0]) if m else 0.0
+    return finite(m[0]) if m else 0.0
 
 
 class _Tables(HTMLParser):
@@ -99,7 +112,7 @@ class _Tables(HTMLParser):
                 t.append(row)
         elif tag in ("td", "th") and self.open and self.open[-1]:
             a = dict(attrs)
-            size = lambda k: max(1, int(m[0])) if (m := re.match(r"\s*\d+", a.get(k) or "")) else 1
+            size = lambda k: max(1, min(MOST_SPAN, int(m[1][:9]))) if (m := re.match(r"\s*(\d+)", a.get(k) or "", re.A)) else 1
             self.cell.append(["", size("colspan"), size("rowspan")])
             self.open[-1][-1].append(self.cell[-1])
         elif tag == "br" and self.cell:
@@ -197,7 +210,7 @@ def best_table(tables: list[list[list[str]]], least: float | None = None) -> lis
 
 def complete(qty: float, price: float, total: float) -> tuple[float, float, float]:
     """Missing numbers from the other two; a quantity close to a whole number becomes it."""
-    if qty <= 0 < price and total > 0:
+    if qty <= 0 < price and total > 0 and math.isfinite(total / price):
         qty = total / price
         qty = float(round(qty)) if abs(qty - round(qty)) < 0.01 else qty
     qty = qty if qty > 0 else 1.0
@@ -237,8 +250,8 @@ def amounts(s: str) -> list[float]:
     found = []
     for m in AMOUNT.findall(s):
         digits = m.replace(",", "")
-        if digits.strip(".") and float(digits) > 0:
-            found.append(float(digits))
+        if digits.strip(".") and finite(digits) > 0:
+            found.append(finite(digits))
     return found
 
 
@@ -266,7 +279,7 @@ def text_items(text: str) -> list[dict]:
     found = []
     for pattern in MULTIPLIED:
         for m in pattern.finditer(text):
-            name, qty, price = item_name(m[1]), float(m[2]), float(m[3])
+            name, qty, price = item_name(m[1]), finite(m[2]), finite(m[3])
             if len(name) >= 2 and qty > 0 and price > 0:
                 found.append(item(name, qty, price, qty * price, parse_method="multiplication"))
     for line in text.split("\n"):
@@ -307,7 +320,7 @@ def last_total(patterns: tuple[str, ...], text: str) -> float | None:
         return None
     top = max(h[0] for h in hits)
     digits = next(v for at, v in hits if at == top).replace(",", "")
-    return float(digits) if digits.strip(".") else None
+    return finite(digits) if digits.strip(".") else None
 
 
 def iso_text(s: str) -> str | None:
@@ -388,10 +401,17 @@ def blocks_of(page: object) -> list[dict]:
 def load_json(text: str) -> object:
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):  # nested deeper than the reader goes
         return None
 
 
+def top(block: dict) -> float:
+    """The upper edge of a block; 0 where its box doesn't say."""
+    box = block.get("block_bbox")
+    y = box[1] if isinstance(box, list) and len(box) > 1 else 0
+    return float(y) if isinstance(y, int | float) and not isinstance(y, bool) and abs(y) < 1e15 else 0.0
+
+
 def strip_tags(s: str) -> str:
     return re.sub(r"<[^>]*>", "", re.sub(r"(?s)<!--.*?-->", "", s))
 
@@ -440,7 +460,7 @@ def text_block(name: str, text: str) -> list[dict]:
     """Invoices of pages without tables, or of text files: items of the text, else of bands of blocks."""
     if name.lower().endswith(".json"):
         found = [b for b in blocks_of(load_json(text)) if str(b.get("block_label") or "").lower() in ("text", "paragraph", "title", "list", "")]
-        texts = [(float((b.get("block_bbox") or [0, 0])[1]), str(b.get("block_content") or "").strip()) for b in found]
+        texts = [(top(b), str(b.get("block_content") or "").strip()) for b in found]
         whole = "\n".join(t for _, t in texts if t)
         items = text_items(whole) or block_items([t for t in texts if t[1]])
     else:
@@ -470,10 +490,11 @@ def model_invoice(name: str, answer: str) -> list[dict]:
     if data is None:
         return []
     num = lambda v: first_number(str(v)) if v not in (None, "") else 0.0
-    given = [i for i in data.get("items") or [] if isinstance(i, dict) and (i.get("name") or i.get("code"))]
+    given = data.get("items")
+    given = [i for i in given if isinstance(i, dict) and (i.get("name") or i.get("code"))] if isinstance(given, list) else []
     calc = half_up(sum(num(i.get("total")) for i in given), 2)  # before missing totals are filled
     items = [item(str(i.get("name") or ""), *complete(num(i.get("qty")), num(i.get("unit_price")), num(i.get("total"))), code=str(i.get("code") or "")) for i in given]
-    header = {k: data.get(k) or ("" if k.endswith("name") else None) for k in ("supplier_name", "customer_name", "invoice_date", "invoice_number", "currency")}
+    header = {k: str(data.get(k) or "") or ("" if k.endswith("name") else None) for k in ("supplier_name", "customer_name", "invoice_date", "invoice_number", "currency")}
     header["declared_total"] = num(data["declared_total"]) if data.get("declared_total") not in (None, "") else None
     made = invoice(name, "llm_assisted", header, items)
     return [made | {"calc_total": calc}] if made else []

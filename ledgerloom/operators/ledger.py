@@ -1,14 +1,15 @@
 """Loading invoices into the ledger: tolerance status, get-or-create dimensions, fact rows, reports.
 
 Inputs are two frames. Headers: doc (unique), source_file, entity, invoice_date, declared. Items: doc,
-pos, code, name, qty, unit_price, total. Everything is joins and grouped aggregates over them; the only
-single-partition windows number keys that are new to a dimension.
+pos, code, name, qty, unit_price, total. Everything is joins and grouped aggregates over them; new keys and
+headers are numbered by ranges of their order, a window for each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import fallback_email, gen_code, reference_no
 
@@ -17,8 +18,8 @@ OK, NO_ITEMS, MISMATCH = "ok", "NO_ITEMS_FOUND", "TOTAL_MISMATCH"
 
 
 def exact_sum(c: Column) -> Column:
-    """A sum of doubles that doesn't depend on order: over four decimals."""
-    return F.sum(c.cast("decimal(18,4)")).cast("double")
+    """A sum of doubles that doesn't depend on order: over six decimals, of values up to 1e22."""
+    return F.sum(c.cast("decimal(28,6)")).cast("double")
 
 
 def plain_number(c: Column) -> Column:
@@ -60,6 +61,28 @@ def default_items(items: DataFrame) -> DataFrame:
     return out.withColumn("qty", F.when(F.col("qty") <= 0, 1.0).otherwise(F.col("qty")))
 
 
+#: Ranges that rows are numbered by.
+RANGES = 64
+
+
+def numbered(rows: DataFrame, order: list[str], top: DataFrame) -> DataFrame:
+    """rows plus ``id``, counted up from the one value of ``top`` in the given order.
+
+    Where the first column of the order is a number, rows fall into ranges of it (their bounds are approximate
+    percentiles, any bounds give the same ids) that are numbered apart and put one after another.
+    """
+    kind = rows.schema[order[0]].dataType
+    bounds = rows.agg(F.percentile_approx(order[0], [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] if isinstance(kind, NumericType) else None
+    low = F.array(*map(F.lit, sorted(set(bounds or ())))) if bounds else F.array().cast("array<int>")
+    out = rows.withColumn("_range", F.size(F.filter(low, lambda b: b <= F.col(order[0]))) if bounds else F.lit(0))
+    sizes = out.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    out = out.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    out = out.join(F.broadcast(starts), "_range").join(F.broadcast(top.toDF("_top")))  # RANGES rows, and one
+    return out.withColumn("id", F.col("_top") + F.col("_start") + F.col("_r")).drop("_range", "_r", "_start", "_top")
+
+
 def get_or_create(wanted: DataFrame, dim: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows new to a dimension, with ids after its largest, in the order they first come.
 
@@ -67,9 +90,7 @@ def get_or_create(wanted: DataFrame, dim: DataFrame, key: str, order: list[str])
     """
     fresh = wanted.join(dim.select(F.col(key).alias("_known")).distinct(), F.col(key) == F.col("_known"), "left_anti")
     first = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
-    top = dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("_top"))
-    numbered = first.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    return numbered.join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_r")).drop("_r", "_top")
+    return numbered(first, order, dim.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")))
 
 
 def lookup(dim: DataFrame, key: str) -> DataFrame:
@@ -83,8 +104,8 @@ def resolve(rows: DataFrame, key: str, dim: DataFrame, created: DataFrame, id_na
     return rows.join(every.withColumnRenamed("id", id_name), key, "left")
 
 
-def purchase_headers(ok: DataFrame, now: Column) -> DataFrame:
-    """The 23 purchase columns of accepted headers that carry supplier_id."""
+def purchase_headers(ok: DataFrame, now: Column, with_id: bool = False) -> DataFrame:
+    """The 23 purchase columns of accepted headers that carry supplier_id, and on demand their header_id as id."""
     grand = F.coalesce("declared", "calc_total")
     zero = F.lit(0.0)
     stamp = F.to_timestamp(F.concat_ws(" ", F.date_format("invoice_date", "yyyy-MM-dd"), F.date_format(now, "HH:mm:ss")))
@@ -94,11 +115,11 @@ def purchase_headers(ok: DataFrame, now: Column) -> DataFrame:
         "order_tax_rate": zero, "order_tax": zero, "order_discount": zero, "shipping_cost": zero, "grand_total": grand, "paid_amount": grand, "status": F.lit(1),
         "payment_status": F.lit("due"), "document": F.col("source_file"), "note": F.lit(None).cast("string"), "created_at": stamp, "updated_at": stamp,
     }
-    return ok.select(*(c.alias(n) for n, c in columns.items()))
+    return ok.select(*([F.col("header_id").alias("id")] if with_id else []), *(c.alias(n) for n, c in columns.items()))
 
 
-def sale_headers(ok: DataFrame, now: Column) -> DataFrame:
-    """The 32 sale columns of accepted headers that carry customer_id."""
+def sale_headers(ok: DataFrame, now: Column, with_id: bool = False) -> DataFrame:
+    """The 32 sale columns of accepted headers that carry customer_id, and on demand their header_id as id."""
     grand = F.coalesce("declared", "calc_total")
     zero, none = F.lit(0.0), F.lit(None).cast("string")
     stamp = F.to_timestamp(F.concat_ws(" ", F.date_format("invoice_date", "yyyy-MM-dd"), F.date_format(now, "HH:mm:ss")))
@@ -109,7 +130,7 @@ def sale_headers(ok: DataFrame, now: Column) -> DataFrame:
         "order_discount_type": F.lit("Flat"), "order_discount_value": zero, "order_discount": zero, "coupon_id": none, "coupon_discount": none, "shipping_cost": zero,
         "sale_status": F.lit(1), "payment_status": F.lit(4), "document": F.col("source_file"), "paid_amount": grand, "sale_note": none, "staff_note": none, "created_at": stamp, "updated_at": stamp,
     }
-    return ok.select(*(c.alias(n) for n, c in columns.items()))
+    return ok.select(*([F.col("header_id").alias("id")] if with_id else []), *(c.alias(n) for n, c in columns.items()))
 
 
 def lines(items: DataFrame, kind: str) -> DataFrame:
@@ -163,22 +184,47 @@ def summary(status: DataFrame) -> DataFrame:
     return status.agg(F.count_if(F.col("status") == OK).alias("success"), F.count_if(F.col("status") != OK).alias("failed"))
 
 
-def import_batch(headers: DataFrame, items: DataFrame, entities: DataFrame, products: DataFrame, kind: str, now: Column) -> dict[str, DataFrame]:
+def import_batch(headers: DataFrame, items: DataFrame, entities: DataFrame, products: DataFrame, kind: str, now: Column, last_id: int = 0) -> dict[str, DataFrame]:
     """All frames that one batch adds: entities, products, headers, lines, manifest, failed, summary.
 
-    entities (id, entity) and products (id, code) are what the ledger knows. Nothing is written here:
-    the caller writes all frames to staging and moves them, so a batch is all or nothing.
+    entities (id, entity) and products (id, code) are what the ledger knows; last_id is its last header's.
+    Headers are numbered after it by doc, and lines name the id of theirs. Nothing is written here: ``write_batch`` or
+    ``append_batch`` do that.
     """
     who, fact, prefix = ("supplier", "purchase", "pr") if kind == "purchase" else ("customer", "sale", "sr")
     status = import_status(default_names(headers, who), items)
     ok = status.where(F.col("status") == OK)
-    goods = default_items(items.join(ok.select("doc", "invoice_date", "source_file"), "doc"))
+    ok = numbered(ok, ["doc"], headers.sparkSession.range(1).select(F.lit(last_id).cast("long"))).withColumnRenamed("id", "header_id")
+    goods = default_items(items.join(ok.select("doc", "invoice_date", "source_file", "header_id"), "doc"))
     made = get_or_create(ok.select("entity", "doc"), entities, "entity", ["doc"])
     ok = resolve(ok, "entity", entities, made, f"{who}_id")
-    made_goods = get_or_create(goods.select("code", "name", "unit_price", "doc", "pos"), products, "code", ["doc", "pos"])
-    goods = resolve(goods, "code", products, made_goods, "product_id").withColumn("parent_id", F.col("doc"))
+    made_goods = get_or_create(goods.select("code", "name", "unit_price", "doc", "pos"), products, "code", ["doc", "pos", "code", "name", "unit_price"])  # no ties, so that every reading numbers alike
+    goods = resolve(goods, "code", products, made_goods, "product_id").withColumn("parent_id", F.col("header_id"))
     build = purchase_headers if kind == "purchase" else sale_headers
+    heads = build(ok, now, with_id=True)
     return {
-        "entities": new_entities(made, who, now), "products": new_products(made_goods, kind, now), "headers": build(ok, now), "lines": lines(goods, fact),
+        "entities": new_entities(made, who, now), "products": new_products(made_goods, kind, now), "headers": heads, "lines": lines(goods, fact),
         "manifest": manifest(ok, prefix, f"{who}_id"), "failed": failed(status), "summary": summary(status),
     }
+
+
+def write_batch(batch: dict[str, DataFrame], folder: str) -> None:
+    """Writes a batch's frames below ``folder``: tables as Parquet, manifest and failed rows as CSV with a head.
+
+    A marker is written last, so a batch without one is not whole; writing again replaces it.
+    """
+    spark = batch["headers"].sparkSession
+    for name, frame in batch.items():
+        if name in ("manifest", "failed"):
+            frame.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        else:
+            frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.range(1).write.mode("overwrite").parquet(f"{folder}/_whole")
+
+
+def append_batch(batch: dict[str, DataFrame], url: str, kind: str, properties: dict[str, str] | None = None) -> None:
+    """Appends a batch to the ledger's tables over JDBC, dimensions first."""
+    who, fact = ("suppliers", "purchase") if kind == "purchase" else ("customers", "sale")
+    names = {"entities": who, "products": "products", "headers": f"{fact}s", "lines": f"product_{fact}s"}
+    for frame, name in names.items():
+        batch[frame].write.jdbc(url, name, mode="append", properties=properties or {})

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ INVOICE = f"source_file string, format_detected string, supplier_name string, cu
 MARKDOWN_HIGH = ("total", "amount", "qty", "quantity", "price", "金额", "數量", "单价", "合计")
 MARKDOWN_MEDIUM = ("invoice", "發票", "销售单", "收據", "item", "product")
 TEXT_WORDS = ("total", "amount", "qty", "price", "金额", "數量", "单价", "合计")
+#: Fixed value: a pipe table's head.
 _PIPES = re.compile(r"\|.+\|[\r\n]+\|[\-:]+\|")
 
 
@@ -82,13 +84,19 @@ class Parser:
 
 
 def model_parser(ask: Callable[[str], str] | None = None) -> Parser:
-    """A parser that asks a language model through ``ask``; without one it is disabled and scores 0."""
+    """A parser that asks a language model through ``ask``; without one it is disabled and scores 0.
+
+    Calls that fail to reach the model or run out of time (OSError, TimeoutError) skip the file, with a
+    warning; other faults of ``ask`` are its own and end the job. Time limits are the caller's to set in ``ask``.
+    """
 
     def parse(name: str, text: str) -> list[dict]:
         try:
-            return extract.model_invoice(name, ask(prompt(extract.model_content(name, text))))
-        except Exception:  # a failed call skips the file
+            answer = ask(prompt(extract.model_content(name, text)))
+        except OSError as e:  # TimeoutError and ConnectionError are OSErrors
+            warnings.warn(f"{name}: {e}", stacklevel=2)
             return []
+        return extract.model_invoice(name, answer)
 
     score = lambda name, text: 0.3 if ask and extension(name) in ("json", "md", "txt") else None
     return Parser("llm_assisted", "Language model", ("json", "md", "txt"), score, parse, ask is not None)

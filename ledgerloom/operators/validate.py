@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fix_code_ocr, fix_text_ocr, item_code
+from ..functions.text import fix_code_ocr, fix_numeric_ocr, fix_text_ocr, item_code, normalize_date
 from .ledger import exact_sum
 
 
@@ -34,24 +34,67 @@ def money(c: Column, places: int) -> Column:
     return F.round(c, places)
 
 
+NUMBERS = ("qty", "unit_price", "total")
+#: Header fields and what stands for a missing one.
+DEFAULTS = {"source_file": "unknown", "supplier_name": "", "customer_name": "", "invoice_date": None, "invoice_number": None, "declared_total": None, "calc_total": 0.0, "currency": None}
+
+
+def said(*rules: tuple[Column, Column]) -> Column:
+    """The texts whose conditions hold, as an array."""
+    return F.filter(F.array(*(F.when(c, w) for c, w in rules)), lambda x: x.isNotNull())
+
+
+def structure(headers: DataFrame) -> DataFrame:
+    """headers with every field of ``DEFAULTS``; missing columns and missing values get the default."""
+    out = headers
+    for name, value in DEFAULTS.items():
+        kind = {"declared_total": "double", "calc_total": "double"}.get(name, "string")
+        if name not in headers.columns:
+            out = out.withColumn(name, F.lit(value).cast(kind))
+        elif value is not None:
+            out = out.withColumn(name, F.coalesce(name, F.lit(value)))
+    return out
+
+
+def repair_header(headers: DataFrame) -> DataFrame:
+    """Repairs ``entity``, and ``invoice_date`` where it is text; adds header_fixes and header_warnings (arrays of text)."""
+    name = F.when(F.col("entity") != "", fix_text_ocr(F.col("entity"))).otherwise(F.col("entity"))
+    fixes = said((~F.col("entity").eqNullSafe(name), F.concat(F.lit("entity: "), F.col("entity"), F.lit(" -> "), name)))
+    out = headers.withColumns({"header_fixes": fixes, "entity": name})
+    if dict(headers.dtypes).get("invoice_date") != "string":
+        return out.withColumn("header_warnings", F.array().cast("array<string>"))
+    date = normalize_date(F.col("invoice_date"))
+    warn = said((date.isNull() & (F.trim("invoice_date") != ""), F.concat(F.lit("date: "), F.col("invoice_date"))))
+    return out.withColumns({"header_warnings": warn, "invoice_date": date})
+
+
 def repair_ocr(items: DataFrame) -> DataFrame:
-    """Repairs names and codes; fixes (array of text) says what changed."""
-    name, code = fix_text_ocr(F.col("name")), fix_code_ocr(F.col("code"))
-    fix = lambda what, old, new: F.when(~old.eqNullSafe(new), F.concat(F.lit(what + ": "), F.coalesce(old, F.lit("")), F.lit(" -> "), new))
-    fixes = F.filter(F.array(fix("name", F.col("name"), name), fix("code", F.col("code"), code)), lambda x: x.isNotNull())
-    return items.withColumns({"fixes": fixes, "name": name, "code": code})
+    """Repairs names, codes and numbers that are text; fixes (array of text) says what changed. Empty names and codes stay."""
+    fix = lambda what, old, new: (~old.eqNullSafe(new), F.concat(F.lit(what + ": "), old, F.lit(" -> "), new))
+    name = F.when(F.col("name") != "", fix_text_ocr(F.col("name"))).otherwise(F.col("name"))
+    code = F.when(F.col("code") != "", fix_code_ocr(F.col("code"))).otherwise(F.col("code"))
+    rules, changed = [fix("name", F.col("name"), name), fix("code", F.col("code"), code)], {"name": name, "code": code}
+    for c in NUMBERS:
+        if dict(items.dtypes)[c] == "string":
+            old, new = F.col(c), F.when(F.col(c).isNotNull(), fix_numeric_ocr(F.col(c)))
+            rules.append((~F.trim(old).try_cast("double").eqNullSafe(new), F.concat(F.lit(c + ": "), old, F.lit(" -> "), new.cast("string"))))
+            changed[c] = new
+    return items.withColumns({"fixes": said(*rules), **changed})
 
 
 def missing_values(items: DataFrame) -> DataFrame:
-    """Fills total, price or quantity from the other two."""
-    q, p, t = (F.coalesce(c, F.lit(0.0)) for c in ("qty", "unit_price", "total"))
+    """Fills total, price or quantity from the other two; names what was filled in ``fixes`` (after those there are)."""
+    q, p, t = (F.coalesce(c, F.lit(0.0)) for c in NUMBERS)
     ratio = F.try_divide(t, p)
     snapped = F.when(F.abs(ratio - F.round(ratio)) < 0.01, F.round(ratio)).otherwise(F.round(ratio, 4))
     alone = (q <= 0) & (p <= 0) & (t > 0)
-    total = F.when((t <= 0) & (q > 0) & (p > 0), F.round(q * p, 2)).otherwise(t)
-    price = F.when(alone, t).when((p <= 0) & (q > 0) & (t > 0), F.round(F.try_divide(t, q), 4)).otherwise(p)
-    qty = F.when((q <= 0) & (p > 0) & (t > 0), snapped).otherwise(q)
-    return items.withColumns({"qty": F.when(qty <= 0, 1.0).otherwise(qty), "unit_price": price, "total": total})
+    no_total, no_price, no_qty = (t <= 0) & (q > 0) & (p > 0), (p <= 0) & (q > 0) & (t > 0), (q <= 0) & (p > 0) & (t > 0)
+    total = F.when(no_total, F.round(q * p, 2)).otherwise(t)
+    price = F.when(alone, t).when(no_price, F.round(F.try_divide(t, q), 4)).otherwise(p)
+    qty = F.when(no_qty, snapped).otherwise(q)
+    filled = said((no_total, F.lit("filled total")), (no_price, F.lit("filled unit_price")), (no_qty, F.lit("filled qty")), (alone, F.lit("filled qty and unit_price")))
+    fixes = F.concat("fixes", filled) if "fixes" in items.columns else filled
+    return items.withColumns({"fixes": fixes, "qty": F.when(qty <= 0, 1.0).otherwise(qty), "unit_price": price, "total": total})
 
 
 def normalize(items: DataFrame) -> DataFrame:
@@ -77,7 +120,12 @@ def range_checks(items: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def total_check(headers: DataFrame, items: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """headers plus calc_total and total_state: ok, no_declared, calc_not_positive or differs."""
     calc = items.groupBy("doc").agg(F.round(exact_sum(F.col("total")), 2).alias("calc_total"))
-    out = headers.join(calc, "doc", "left").withColumn("calc_total", F.coalesce("calc_total", F.lit(0.0)))
+    return total_state(headers.join(calc, "doc", "left"), limits)
+
+
+def total_state(headers: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """headers with calc_total, which is 0 where missing, plus total_state."""
+    out = headers.withColumn("calc_total", F.coalesce("calc_total", F.lit(0.0)))
     d, c = F.col("declared"), F.col("calc_total")
     off = F.try_divide(F.abs(d - c), F.greatest(F.abs(d), F.abs(c)))
     return out.withColumn("total_state", F.when(d.isNull(), "no_declared").when(c <= 0, "calc_not_positive").when(off > limits.tolerance, "differs").otherwise("ok"))
@@ -86,13 +134,17 @@ def total_check(headers: DataFrame, items: DataFrame, limits: Limits = Limits())
 def validate(headers: DataFrame, items: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """(invoices with valid, n_errors, n_warnings, n_fixes; repaired items)."""
     fixed = range_checks(normalize(missing_values(repair_ocr(items))), limits)
-    per = fixed.groupBy("doc").agg(F.sum(F.size("errors")).alias("e"), F.sum(F.size("warnings")).alias("w"), F.sum(F.size("fixes")).alias("f"))
-    out = total_check(headers, fixed, limits).join(per, "doc", "left")
+    # Fixes of items that are dropped afterwards count as well, so they are counted before.
+    fixes = missing_values(repair_ocr(items)).groupBy("doc").agg(F.sum(F.size("fixes")).alias("f"))
+    calc = F.round(exact_sum(F.col("total")), 2).alias("calc_total")
+    per = fixed.groupBy("doc").agg(calc, F.sum(F.size("errors")).alias("e"), F.sum(F.size("warnings")).alias("w"))
+    out = total_state(repair_header(headers).join(per, "doc", "left"), limits).join(fixes, "doc", "left")
     bad = F.col("total_state") == "calc_not_positive"
     zero = F.lit(0).cast("long")
     errors = F.coalesce("e", zero) + F.when(F.col("e").isNull(), 1).otherwise(0) + bad.cast("int")
-    warnings = F.coalesce("w", zero) + F.col("total_state").isin("no_declared", "differs").cast("int")
-    return out.withColumns({"n_errors": errors, "n_warnings": warnings, "n_fixes": F.coalesce("f", zero), "valid": errors == 0}).drop("e", "w", "f"), fixed
+    warnings = F.coalesce("w", zero) + F.col("total_state").isin("no_declared", "differs").cast("int") + F.size("header_warnings")
+    n_fixes = F.coalesce("f", zero) + F.size("header_fixes")
+    return out.withColumns({"n_errors": errors, "n_warnings": warnings, "n_fixes": n_fixes, "valid": errors == 0}).drop("e", "w", "f"), fixed
 
 
 def batch_summary(validated: DataFrame) -> DataFrame:

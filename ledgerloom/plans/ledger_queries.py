@@ -422,13 +422,55 @@ def validator_missing_calc(s, sf):
     return validate.missing_values(damaged(s, sf)).select("doc", "pos", "qty", "unit_price", "total")
 
 
-@register("validator_ranges", "SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN l_discount > 0.05 THEN 'total_off' ELSE '' END AS warnings, CASE WHEN l_orderkey % 4 = 0 THEN 'qty_negative' ELSE '' END AS errors FROM (SELECT * FROM lineitem WHERE l_orderkey % 4 <> 0 OR l_discount > 0.05)")
+@register("validator_ranges", """SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN l_discount > 0.05 OR l_orderkey % 4 = 0 THEN 'total_off' ELSE '' END AS warnings, CASE WHEN l_orderkey % 4 = 0 THEN 'qty_negative' ELSE '' END AS errors FROM lineitem""")
 def validator_ranges(s, sf):
-    li = t(s, sf, "lineitem").where("l_orderkey % 4 <> 0 or l_discount > 0.05")
+    li = t(s, sf, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.lit("cable").alias("name"), F.when(F.col("l_orderkey") % 4 == 0, -1.0).otherwise(1.0).alias("qty"), F.lit(100.0).alias("unit_price"), F.when(F.col("l_discount") > 0.05, 200.0).otherwise(100.0).alias("total"))
     return validate.range_checks(rows).select("doc", "pos", F.array_join("warnings", ",").alias("warnings"), F.array_join("errors", ",").alias("errors"))
 
 
+@register("validator_fixes", f"SELECT l_orderkey AS doc, l_linenumber AS pos, CASE {_D} WHEN 0 THEN 'filled total' WHEN 1 THEN 'filled qty' WHEN 2 THEN 'filled unit_price' WHEN 3 THEN 'filled qty and unit_price' ELSE '' END AS fixes FROM lineitem q")
+def validator_fixes(s, sf):
+    return validate.missing_values(validate.repair_ocr(damaged(s, sf))).select("doc", "pos", F.array_join("fixes", ",").alias("fixes"))
+
+
+@register("validator_ocr", """SELECT l_orderkey AS doc, l_linenumber AS pos, 'part 10 of ' || l_linenumber AS name, CAST(105 + 1000 * l_linenumber AS VARCHAR) AS code, CAST(CAST(l_quantity AS INT) * 10 AS DOUBLE) AS qty, 12.0::DOUBLE AS unit_price,
+ CAST(l_linenumber * 1000 + 500 AS DOUBLE) AS total, 4 AS n_fixes FROM lineitem""")
+def validator_ocr(s, sf):
+    """Names with blanks and letters for digits, codes and numbers as text with letters for digits."""
+    line = F.col("l_linenumber").cast("string")
+    rows = t(s, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("  part  10 of "), line).alias("name"), F.concat(line, F.lit("1O5")).alias("code"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("O")).alias("qty"), F.lit("12").alias("unit_price"), F.concat(line, F.lit(",5OO")).alias("total"),
+    )
+    return validate.repair_ocr(rows).select("doc", "pos", "name", "code", "qty", "unit_price", "total", F.size("fixes").alias("n_fixes"))
+
+
+@register("validator_headers", """SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN 'Acme 105 Ltd' ELSE 'Acme' END AS entity, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS invoice_date,
+ CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS n_fixes, CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END AS n_warnings FROM orders""")
+def validator_headers(s, sf):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    date = F.when(k % 4 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 4 == 1, F.date_format(day, "d/M/yyyy")).when(k % 4 == 2, F.date_format(day, "yyyy年M月d日")).otherwise("some day")
+    rows = t(s, sf, "orders").select(k.alias("doc"), F.when(k % 3 == 0, "Acme 1O5  Ltd").otherwise("Acme").alias("entity"), date.alias("invoice_date"))
+    return validate.repair_header(rows).select("doc", "entity", "invoice_date", F.size("header_fixes").alias("n_fixes"), F.size("header_warnings").alias("n_warnings"))
+
+
+@register("validator_structure", "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'f' ELSE 'unknown' END AS source_file, '' AS supplier_name, CAST(0 AS DOUBLE) AS calc_total, NULL::VARCHAR AS currency FROM orders")
+def validator_structure(s, sf):
+    rows = t(s, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderkey") % 2 == 0, "f").alias("source_file"))
+    return validate.structure(rows).select("doc", "source_file", "supplier_name", "calc_total", "currency")
+
+
+@register("validator_normalize", "SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN l_orderkey % 3 = 1 THEN 'P' || l_partkey ELSE 'bolt' END AS name, CASE WHEN l_orderkey % 3 = 2 THEN 'BOLT' ELSE 'P' || l_partkey END AS code FROM lineitem WHERE l_orderkey % 6 <> 0 OR l_linenumber % 2 = 0")
+def validator_normalize(s, sf):
+    """Names from codes, codes from names, and nameless items dropped."""
+    k = F.col("l_orderkey")
+    none = (k % 6 == 0) & (F.col("l_linenumber") % 2 != 0)
+    code = F.when(none | (k % 3 == 2), " ").otherwise(F.concat(F.lit("P"), F.col("l_partkey").cast("string")))
+    rows = t(s, sf, "lineitem").select(k.alias("doc"), F.col("l_linenumber").alias("pos"), F.when(none, F.lit(None).cast("string")).when(k % 3 == 1, "").otherwise(" bolt ").alias("name"), code.alias("code"), *(F.lit(1.0).alias(c) for c in ("qty", "unit_price", "total")))
+    return validate.normalize(rows).select("doc", "pos", "name", "code")
+
+
 TOTAL_STATE = f"WITH {STATUS_SQL} SELECT doc, coalesce(calc_total, 0) AS calc_total, CASE WHEN coalesce(calc_total, 0) <= 0 THEN 'calc_not_positive' WHEN abs(declared - calc_total) / greatest(abs(declared), abs(calc_total)) > 0.05 THEN 'differs' ELSE 'ok' END AS total_state FROM st"
 
 
@@ -437,11 +479,136 @@ def validator_totals(s, sf):
     return validate.total_check(headers(s, sf), items(s, sf)).select("doc", "calc_total", "total_state")
 
 
-@register("validator_summary", "SELECT count(*) AS total, count(*) FILTER (n > 0) AS valid, count(*) FILTER (n = 0) AS invalid, 0::BIGINT AS fixed FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
+@register("validator_summary", "SELECT count(*) AS total, count(*) FILTER (n > 0) AS valid, count(*) FILTER (n = 0) AS invalid, count(*) FILTER (n > 0 AND o_orderkey % 5 <> 4) AS fixed FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
 def validator_summary(s, sf):
     return validate.batch_summary(validate.validate(headers(s, sf), damaged(s, sf))[0])
 
 
+def whole_batch(s, sf, kind):
+    """One batch of all orders into a ledger that knows half of the customers and a third of the parts."""
+    people = t(s, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("entity"))
+    goods = t(s, sf, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("code"))
+    named = items(s, sf).withColumn("name", F.concat(F.lit("part "), F.col("code")))
+    return ledger.import_batch(headers(s, sf), named, people, goods, kind, now(), last_id=1000)
+
+
+def batch_sql(fact: str) -> str:
+    who = "supplier" if fact == "purchase" else "customer"
+    return f"""{OK_SQL}, kb AS (SELECT c_name AS entity, c_custkey AS id FROM customer WHERE c_custkey % 2 = 0),
+ fresh AS (SELECT entity, min(doc) AS first FROM ok WHERE entity NOT IN (SELECT entity FROM kb) GROUP BY 1),
+ eids AS (SELECT entity, id FROM kb UNION ALL SELECT entity, (SELECT max(id) FROM kb) + row_number() OVER (ORDER BY first) FROM fresh),
+ hb AS (SELECT ok.doc, 1000 + row_number() OVER (ORDER BY ok.doc) AS id, source_file, eids.id AS {who}_id FROM ok LEFT JOIN eids USING (entity)),
+ gb AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_partkey AS part, l_extendedprice AS total FROM lineitem JOIN hb ON hb.doc = l_orderkey),
+ np AS (SELECT part, row_number() OVER (ORDER BY doc, pos, CAST(part AS VARCHAR)) AS r FROM (SELECT * FROM gb WHERE part % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc, pos) = 1)),
+ pid AS (SELECT p_partkey AS part, p_partkey AS id FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT part, (SELECT max(p_partkey) FROM part WHERE p_partkey % 3 = 0) + r FROM np)
+ SELECT hb.id AS header_id, source_file AS document, {who}_id AS entity_id, pid.id AS product_id, gb.total FROM hb JOIN gb USING (doc) JOIN pid USING (part)"""
+
+
+def batch_rows(s, sf, kind, fact, who):
+    made = whole_batch(s, sf, kind)
+    head = made["headers"].select(F.col("id").alias("header_id"), "document", F.col(f"{who}_id").alias("entity_id"))
+    return head.join(made["lines"].select(F.col(f"{fact}_id").alias("header_id"), "product_id", "total"), "header_id")
+
+
+@register("import_batch_purchase", batch_sql("purchase"))
+def import_batch_purchase(s, sf):
+    return batch_rows(s, sf, "purchase", "purchase", "supplier")
+
+
+@register("import_batch_sale", batch_sql("sale"))
+def import_batch_sale(s, sf):
+    return batch_rows(s, sf, "sale", "sale", "customer")
+
+
+@register("item_defaults", """SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN l_orderkey % 2 = 0 THEN 'P' || l_partkey ELSE 'bolt' END AS name, 'P' || l_partkey AS code, CASE WHEN l_orderkey % 3 = 2 THEN l_quantity ELSE 1.0 END::DOUBLE AS qty,
+ CASE l_orderkey % 3 WHEN 0 THEN 7.0 WHEN 1 THEN -21.0 ELSE l_quantity * 7 END::DOUBLE AS total FROM lineitem""")
+def item_defaults(s, sf):
+    """Missing names, quantities and totals; a total is made before a quantity below 1 is mended."""
+    k = F.col("l_orderkey")
+    qty = F.when(k % 3 == 0, F.lit(None).cast("double")).when(k % 3 == 1, -3.0).otherwise(F.col("l_quantity"))
+    rows = t(s, sf, "lineitem").select(k.alias("doc"), F.col("l_linenumber").alias("pos"), F.when(k % 2 == 0, " ").otherwise("bolt").alias("name"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("code"), qty.alias("qty"), F.lit(7.0).alias("unit_price"), F.lit(None).cast("double").alias("total"))
+    return ledger.default_items(rows).select("doc", "pos", "name", "code", "qty", "total")
+
+
+@register("name_defaults", "SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 2 = 0 THEN 'UNKNOWN_SUPPLIER' ELSE 'Acme' END AS supplier, CASE WHEN o_orderkey % 3 = 0 THEN 'UNKNOWN_CUSTOMER' ELSE 'Kim' END AS customer FROM orders")
+def name_defaults(s, sf):
+    k = F.col("o_orderkey")
+    rows = t(s, sf, "orders").select(k.alias("doc"), F.when(k % 2 == 0, "  ").otherwise("Acme").alias("entity"), F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise("Kim").alias("other"))
+    first = ledger.default_names(rows, "supplier").withColumn("supplier", F.col("entity")).withColumn("entity", F.col("other"))
+    return ledger.default_names(first, "customer").select("doc", "supplier", F.col("entity").alias("customer"))
+
+
+def order_files(s, sf, name, content):
+    """A file per order, as a run of its own; the content is an expression over doc, day and line items' number n."""
+    o = t(s, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return o.select(F.col("doc").cast("string").alias("run_id"), F.lit(0).alias("pos"), F.lit(name).alias("name"), content.alias("content"))
+
+
+def _doc():
+    return F.col("doc").cast("string")
+
+
+FIELDS = ("supplier_name", "customer_name", "invoice_date", "invoice_number", "declared_total", "calc_total", "currency")
+
+
+@register("text_header_fields", """SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'Acme ' || o_orderkey || ' Ltd' AS supplier_name, 'Buyer ' || o_orderkey AS customer_name, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, 'A-' || o_orderkey AS invoice_number,
+ CAST(o_orderkey AS DOUBLE) AS declared_total, 580.0::DOUBLE AS calc_total, 'HKD' AS currency FROM orders""")
+def text_header_fields(s, sf):
+    """Header fields of running text, through the parser that reads it when it is forced."""
+    doc = _doc()
+    text_ = F.concat(F.lit("Vendor: Acme "), doc, F.lit(" Ltd\nBill to: Buyer "), doc, F.lit("\nDate: "), F.col("day"), F.lit("\nInvoice No: A-"), doc, F.lit("\nTotal: 5\nCable 4 145 580\nGrand total: "), doc, F.lit("\npaid in HKD\n"))
+    return registry.Registry().parse(order_files(s, sf, "a.txt", text_), "text_block").select("run_id", *FIELDS)
+
+
+@register("page_fields", """SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'Acme ' || o_orderkey || ' Ltd' AS supplier_name, 'Buyer ' || o_orderkey AS customer_name, strftime(o_orderdate, '%Y-%m-%d') AS invoice_date, 'A-' || o_orderkey AS invoice_number,
+ CAST(o_orderkey AS DOUBLE) AS declared_total, 10.0::DOUBLE AS calc_total, NULL::VARCHAR AS currency, 'Cable - red [XL]' AS item FROM orders""")
+def page_fields(s, sf):
+    """Header fields and items of OCR pages, wrapped or not, through the parser that scores best."""
+    doc = _doc()
+    block = lambda label, *parts: F.concat(F.lit(f'{{"block_label": "{label}", "block_content": "'), *parts, F.lit('"}'))
+    table = "<table><tr><td>Name</td><td>Color</td><td>Size</td><td>Qty</td><td>Price</td><td>Total</td></tr><tr><td>Cable</td><td>red</td><td>XL</td><td>2</td><td>5</td><td></td></tr><tr><td>Total</td><td></td><td></td><td></td><td></td><td>10</td></tr></table>"
+    blocks = [block("text", F.lit("Vendor: Acme "), doc, F.lit(" Ltd")), block("text", F.lit("To: Buyer "), doc), block("text", F.lit("Date: "), F.col("day")), block("text", F.lit("Invoice # A-"), doc), block("text", F.lit("Grand total: "), doc), block("table", F.lit(table))]
+    page = F.concat(F.lit('{"parsing_res_list": ['), F.concat_ws(",", *blocks), F.lit('], "model_settings": {}, "layout_det_res": {}}'))
+    k = F.col("doc") % 3
+    whole = F.when(k == 0, page).when(k == 1, F.concat(F.lit('{"result": '), page, F.lit("}"))).otherwise(F.concat(F.lit('{"data": '), page, F.lit("}")))
+    out = registry.Registry().parse(order_files(s, sf, "a.json", whole))
+    return out.select("run_id", *FIELDS, F.col("items")[0]["name"].alias("item"))
+
+
+@register("text_multiplication", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'Widget' AS name, CAST(o_orderkey % 50 + 1 AS DOUBLE) AS qty, 12.0::DOUBLE AS unit_price, CAST(12 * (o_orderkey % 50 + 1) AS DOUBLE) AS total FROM orders")
+def text_multiplication(s, sf):
+    content = F.concat(F.lit("Widget x"), (F.col("doc") % 50 + 1).cast("string"), F.lit(" @12"))
+    out = registry.Registry().parse(order_files(s, sf, "a.txt", content), "text_block")
+    first = F.filter("items", lambda i: (i["name"] == "Widget") & (i["metadata"]["parse_method"] == "multiplication"))[0]
+    return out.select("run_id", first["name"].alias("name"), first["qty"].alias("qty"), first["unit_price"].alias("unit_price"), first["total"].alias("total"))
+
+
+@register("block_group_items", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'block_group' AS how, 'cable' AS name, CAST(o_orderkey % 9 + 2 AS DOUBLE) AS qty, 12.0::DOUBLE AS unit_price, CAST(12 * (o_orderkey % 9 + 2) AS DOUBLE) AS total FROM orders")
+def block_group_items(s, sf):
+    """Blocks that only make an item together, by their upper edges."""
+    q = F.col("doc") % 9 + 2
+    block = lambda y, text_: F.concat(F.lit(f'{{"block_label": "text", "block_bbox": [0, {y}, 9, 9], "block_content": "'), text_, F.lit('"}'))
+    page = F.concat(F.lit('{"parsing_res_list": ['), F.concat_ws(",", block(40, q.cast("string")), block(70, (q * 12).cast("string")), block(10, F.lit("cable")), block(300, F.lit("bye"))), F.lit("]}"))
+    out = registry.Registry().parse(order_files(s, sf, "a.json", page), "text_block").select("run_id", F.explode("items").alias("i"))
+    return out.select("run_id", F.col("i")["metadata"]["parse_method"].alias("how"), "i.name", "i.qty", "i.unit_price", "i.total")
+
+
+@register("extension_filter", "SELECT doc_id, doc_id % 6 < 3 AS keep FROM documents")
+def extension_filter(s, sf):
+    ends = F.array(*map(F.lit, ("json", "MD", "md", "exe", "png", "pyc")))
+    return t(s, sf, "documents").select("doc_id", files.wanted(F.concat(F.lit("f."), F.get(ends, (F.col("doc_id") % 6).cast("int")))).alias("keep"))
+
+
+@register("upload_split", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' WHEN doc_id % 2 = 0 THEN 'kept' END AS part FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
+def upload_split(s, sf):
+    """Uploads that failed beside those that arrived and are wanted."""
+    k = F.col("doc_id")
+    rows = t(s, sf, "documents").select(F.concat(k.cast("string"), F.when(k % 2 == 0, ".md").otherwise(".exe")).alias("name"), F.when(k % 3 == 0, 4).otherwise(0).alias("error"))
+    ok, bad = files.ingest_upload(rows)
+    number_ = F.regexp_extract("name", "^[0-9]+", 0).cast("long").alias("doc_id")
+    return ok.select(number_, F.lit("kept").alias("part")).unionByName(bad.select(number_, F.lit("failed").alias("part")))
+
+
 @register("llm_response_parse", "SELECT o_orderkey AS doc, CAST(o_orderkey AS DOUBLE) AS total, CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS n FROM orders WHERE o_orderkey % 4 <> 3")
 def llm_response_parse(s, sf):
     o = t(s, sf, "orders")
@@ -473,10 +640,14 @@ def stream_ingest_summary(s, sf):
 
     from ..streaming import ingest
 
+    conf = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.checkpoint.dir", None)
+    if not conf and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
     name = f"stream_{uuid.uuid4().hex}"
     schema = t(s, sf, "events").schema
     stream = ingest.summary_stream(s, sf, "events.parquet", schema.simpleString()[7:-1].replace(":", " "))
-    conf = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerloom-stream-")
+    conf = conf or "file://" + tempfile.mkdtemp(prefix="ledgerloom-stream-")
     out = f"{conf.rstrip('/')}/{name}"
     each = lambda df, epoch: df.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
     ingest.ingest(stream, each, f"{out}/checkpoint").awaitTermination()

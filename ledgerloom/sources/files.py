@@ -43,7 +43,9 @@ def described(raw: DataFrame, root: str, run_id: str) -> DataFrame:
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     out = raw.select(F.lit(run_id).alias("run_id"), path.alias("path"), name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("ext"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
     out = out.withColumn("relative_path", F.regexp_replace("path", "^" + re.escape(re.sub("^file:/*", "/", root).rstrip("/")) + "/", "")).withColumn("base_name", base_name(F.col("name")))
-    return out.withColumn("pos", (F.row_number().over(Window.partitionBy("run_id").orderBy("name", "path")) - 1).cast("int"))
+    # Only names are put in order; contents stay where they are read.
+    order = out.select("path", (F.row_number().over(Window.orderBy("name", "path")) - 1).cast("int").alias("pos"))
+    return out.join(order, "path").select("run_id", "pos", *(c for c in out.columns if c != "run_id"))
 
 
 def scan(spark: SparkSession, folder: str, run_id: str = "run", extensions: tuple[str, ...] = EXTENSIONS, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
@@ -68,6 +70,26 @@ def scan_zip(spark: SparkSession, path: str, run_id: str = "run", extensions: tu
     return described(members.where(wanted(F.regexp_extract("path", r"([^/]*)$", 1), extensions)), path, run_id)
 
 
+def read_json(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """JSON documents of one object each: strict readers fail on one that is none, lenient ones give a row of nulls."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of text files, each whole."""
+    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("content"))
+
+
+def ingest_upload(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, ignored: tuple[str, ...] = IGNORED) -> tuple[DataFrame, DataFrame]:
+    """(the files that arrived and are wanted; name and message of those whose upload failed), of rows with name and error."""
+    return files.where((F.col("error") == 0) & wanted(F.col("name"), extensions, ignored)).drop("error"), upload_errors(files)
+
+
+def save_meta(meta: DataFrame, uploads: str) -> None:
+    """Replaces the stored raw metadata (run_id and any columns) of the runs in ``meta``, a partition each."""
+    meta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(uploads)
+
+
 def upload_errors(files: DataFrame) -> DataFrame:
     """name and message of files whose upload (column error) failed."""
     text = F.lit("unknown upload error")
