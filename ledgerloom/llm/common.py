@@ -97,6 +97,18 @@ def handed_out(df: DataFrame, rows: int = HANDED_OUT_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def first_by_hash(rows: DataFrame, n: int, most: int, *key: str) -> DataFrame:
+    """Of ``n`` rows at most ``most``, the first by hash of the key columns, in that order.
+
+    Rows are thinned by the same hash before they are put in order, so that partitions send about ``most`` rows in all, however many there are.
+    """
+    place = F.xxhash64(*key)
+    if n > most:
+        rows = rows.where(F.pmod(place, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * most / n + 100 / n)))
+        place = F.pmod(place, F.lit(1 << 30))
+    return rows.orderBy(place, *key).limit(most)
+
+
 def null_rank(c: Column) -> Column:
     """0 for a value, 1 for null: sort key that puts nulls last."""
     return F.when(c.isNull(), 1).otherwise(0)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, first_by_hash
 
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -145,11 +145,11 @@ def fold(url: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(3), url), F.lit(FOLDS)).cast("int")
 
 
-def suffix_rates(ruled: DataFrame) -> tuple[list[DataFrame], float]:
-    """(suffix, rates) of each kind of suffix over all labelled URLs, smoothed to the overall rate: without each fold, then of all."""
+def suffix_rates(ruled: DataFrame) -> tuple[list[DataFrame], float, int]:
+    """(suffix, rates) of each kind of suffix over all labelled URLs, smoothed to the overall rate: without each fold, then of all; that rate, and the labelled rows."""
     labelled = ruled.where(F.col("label").isNotNull())
     block = (F.col("label") == "block").cast("double")
-    overall = labelled.agg(F.avg(block)).first()[0] or 0.0
+    overall, n = labelled.agg(F.coalesce(F.avg(block), F.lit(0.0)), F.count(F.lit(1))).first()
 
     def rate(without: int | None) -> Column:
         own = F.lit(True) if without is None else fold(F.col("url")) != without
@@ -158,19 +158,19 @@ def suffix_rates(ruled: DataFrame) -> tuple[list[DataFrame], float]:
     rates = F.array(*(rate(f) for f in (*range(FOLDS), None))).alias("rates")
     # Written once, so that they aren't counted again for the sample and for the verdicts, and their size is known when the join is planned.
     each = enumerate(suffixes(F.col("host"), F.col("path")))
-    return [cut(labelled.groupBy(c.alias("suffix")).agg(rates), f"suffix{i}") for i, c in each], overall
+    return [cut(labelled.groupBy(c.alias("suffix")).agg(rates), f"suffix{i}") for i, c in each], overall, n
 
 
 def judge(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block (null where a rule decides) of every page."""
     ruled = with_rule(pages.select("page_id", "url"))
-    rates, overall = suffix_rates(ruled)
+    rates, overall, n = suffix_rates(ruled)
     x = ruled
     for i, (c, rate) in enumerate(zip(suffixes(F.col("host"), F.col("path")), rates, strict=True)):
         x = x.withColumn(f"_s{i}", c).join(rate.withColumnsRenamed({"suffix": f"_s{i}", "rates": f"_r{i}"}), f"_s{i}", "left")
     at = F.when(F.col("label").isNull(), FOLDS).otherwise(fold(F.col("url")))
     x = x.select("page_id", "url", "host", "path", "rule", "label", *(F.coalesce(F.get(f"_r{i}", at), F.lit(overall)).alias(f"r{i}") for i in range(3)))
-    labelled = x.where(F.col("label").isNotNull()).orderBy(F.xxhash64("url", "page_id"), "url", "page_id").limit(sample).toPandas()
+    labelled = first_by_hash(x.where(F.col("label").isNotNull()), n, sample, "url", "page_id").toPandas()
     y = (labelled["label"] == "block").to_numpy(float)
     only = "block" if len(y) and y.all() else "allow"
     trees = None

@@ -138,6 +138,13 @@ def test_large_regions_are_compared_whole(spark, monkeypatch):
     assert {(r["u"], r["v"]) for r in found.collect()} == {(2 * i, 2 * i + 1) for i in range(10)}
 
 
+def test_first_by_hash(spark):
+    rows = spark.range(50_000).toDF("x")
+    got = [r["x"] for r in common.first_by_hash(rows.repartition(7), 50_000, 1000, "x").collect()]
+    assert len(set(got)) == 1000 and got == [r["x"] for r in common.first_by_hash(rows, 50_000, 1000, "x").collect()]
+    assert common.first_by_hash(rows.limit(10), 10, 1000, "x").count() == 10
+
+
 def test_release(spark):
     table = common.cut(spark.range(3).toDF("x"), "some")
     assert table.count() == 3 and common.release(spark) > 0 and common.release(spark) == 0
