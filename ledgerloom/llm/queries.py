@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, linededup, mixing, neardup, pii, secrets, urls, warc
+from . import ann, decontaminate, langid, linededup, mixing, neardup, oracles, pii, secrets, urls, warc
 from .common import table
 
 
@@ -63,9 +63,31 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op9: its base kinds."""
+    return op9_secrets(spark, sf_dir).drop("spans")
+
+
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op10: its base kinds."""
+    return op10_pii(spark, sf_dir).drop("spans")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op5: hosts, paths, rules and the verdicts of rules."""
+    return op5_url_filter(spark, sf_dir).withColumn("verdict", F.when(F.col("rule").isNotNull(), F.col("verdict")))
+
+
+def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2: sizes and targets, to three decimals."""
+    return op2_mix_sources(spark, sf_dir).select("doc_id", "source", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
+    parts = {"base_secrets": base_secrets, "base_pii": base_pii, "url_rules": url_rules, "source_targets": source_targets}
+    return parts | {"op1_decontaminate": op1_decontaminate, "op2_mix_sources": op2_mix_sources, "op3_language_id": op3_language_id, "op4_nearest": op4_nearest, "op5_url_filter": op5_url_filter, "op6_warc": op6_warc, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_secrets": op9_secrets, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE, "op7_near_dedup": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE}
+    parts = {"base_secrets": oracles.SECRETS_BASE, "base_pii": oracles.PII_BASE, "url_rules": oracles.URL_RULES, "source_targets": oracles.SOURCE_TARGETS}
+    return parts | {"op6_warc": warc.ORACLE, "op7_near_dedup": neardup.ORACLE, "op8_line_dedup": linededup.ORACLE}
