@@ -210,8 +210,9 @@ def keyword_hits(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def unwrap_json(c: Column) -> Column:
-    """The page object as JSON text: what is under result, else under data, else the whole."""
-    return F.coalesce(F.get_json_object(c, "$.result"), F.get_json_object(c, "$.data"), c)
+    """The page object as JSON text: the object under result, else the one under data, else the whole."""
+    held = [F.get_json_object(c, f"$.{k}") for k in ("result", "data")]
+    return F.coalesce(*(F.when(h.startswith("{"), h) for h in held), c)
 
 
 def summary_row(code: Column, name: Column) -> Column:

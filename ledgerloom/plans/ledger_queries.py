@@ -233,6 +233,10 @@ DUCK = {
     "date_dmy_rollover": ("orders", "o_orderkey", "'a'", "CAST(make_date(year(o_orderdate), 1, 1) + to_months(day(o_orderdate) - 1) + to_days(month(o_orderdate) + 29) AS DATE)", text.normalize_date, lambda: F.concat((F.month("o_orderdate") + 30).cast("string"), F.lit("/"), F.dayofmonth("o_orderdate").cast("string"), F.lit("/"), F.year("o_orderdate").cast("string"))),
     "normalize_date_iso": ("orders", "o_orderkey", "'a'", "CAST(o_orderdate AS DATE)", text.normalize_date, lambda: F.date_format("o_orderdate", "yyyy/M/d")),
     "date_mdy_text": ("orders", "o_orderkey", "'a'", "strftime(o_orderdate, '%Y-%m-%d')", text.normalize_date_text, lambda: F.date_format("o_orderdate", "M/d/yyyy")),
+    "clean_cell": ("part", "p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN ' |--+ ' ELSE '  ' || p_name || '  |  x ' END", r"CASE WHEN p_partkey % 3 = 0 THEN '' ELSE trim(regexp_replace(x, '\s+', ' ', 'g')) END", text.clean_cell, lambda: F.when(F.col("p_partkey") % 3 == 0, " |--+ ").otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit("  |  x ")))),
+    "clean_item_name": ("part", "p_partkey", "'12.) - cable   ' || p_name || ' -* '", "'cable ' || p_name", text.clean_item_name, lambda: F.concat(F.lit("12.) - cable   "), F.col("p_name"), F.lit(" -* "))),
+    "clean_entity_name": ("part", "p_partkey", "'a'", "'Acme ' || p_name", text.clean_entity_name, lambda: F.concat(F.get(F.array(*map(F.lit, ("Vendor: ", "FROM  ", "供應商:", "supplier", " "))), (F.col("p_partkey") % 5).cast("int")), F.lit(" Acme  "), F.col("p_name"), F.lit(" "))),
+    "summary_row": ("part", "p_partkey", "'a'", "p_partkey % 4 < 2", lambda c: text.summary_row(F.lit("c-1"), c), lambda: F.get(F.array(*map(F.lit, ("Total", "小計", "Totals", "total 5"))), (F.col("p_partkey") % 4).cast("int"))),
     "item_code": ("part", "p_partkey", "p_name", "upper(left(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'), 10))", text.item_code, lambda: F.col("p_name")),
     "title_extract": ("documents", "doc_id", "'## ' || source || '\n' || doc_id", "source", text.title, lambda: F.concat(F.lit("## "), F.col("source"), F.lit("\n"), F.col("doc_id").cast("string"))),
     "keyword_score": ("documents", "doc_id", "text", "CAST(contains(lower(x), 'the') AS INT) + CAST(contains(lower(x), 'and') AS INT) + CAST(contains(lower(x), 'der') AS INT)", lambda c: text.keyword_hits(c, ("the", "and", "der")), lambda: F.col("text")),
@@ -652,3 +656,43 @@ def stream_ingest_summary(s, sf):
     each = lambda df, epoch: df.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/data/epoch={epoch}")
     ingest.ingest(stream, each, f"{out}/checkpoint").awaitTermination()
     return s.read.parquet(f"{out}/data").groupBy("event_type").agg(F.sum("n").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@register("unwrap_json", "SELECT o_orderkey AS id, '{\"a\":' || o_orderkey || '}' AS value FROM orders WHERE o_orderkey % 4 <> 3 UNION ALL SELECT o_orderkey, '{\"result\":5,\"a\":' || o_orderkey || '}' FROM orders WHERE o_orderkey % 4 = 3")
+def unwrap_json(s, sf):
+    """Pages under result, under data, bare, and with a result that is no object."""
+    k = F.col("o_orderkey")
+    page = F.concat(F.lit('{"a":'), k.cast("string"), F.lit("}"))
+    whole = F.when(k % 4 == 0, F.concat(F.lit('{"result":'), page, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit('{"data":'), page, F.lit("}"))).when(k % 4 == 2, page)
+    return t(s, sf, "orders").select(k.alias("id"), text.unwrap_json(F.coalesce(whole, F.concat(F.lit('{"result":5,"a":'), k.cast("string"), F.lit("}")))).alias("value"))
+
+
+@register("row_cell", "SELECT p_partkey AS id, trim(coalesce(string_split(p_name, ' ')[p_partkey % 6 + 1], '')) AS value FROM part")
+def row_cell(s, sf):
+    return t(s, sf, "part").select(F.col("p_partkey").alias("id"), text.cell(F.split("p_name", " "), (F.col("p_partkey") % 6).cast("int")).alias("value"))
+
+
+@register("edit_update", "SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN first THEN 3.0 ELSE l_quantity END::DOUBLE AS qty, CASE WHEN first THEN 6.0 ELSE l_quantity * 2 END::DOUBLE AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) = 1 AS first FROM lineitem)")
+def edit_update(s, sf):
+    """The first item of every draft (by number, quantity, total) gets another quantity; all totals follow."""
+    one = F.struct("pos", "qty", F.lit(2.0).alias("unit_price"), "total")
+    per = items(s, sf).groupBy("doc").agg(F.sort_array(F.collect_list(one)).alias("i"))
+    return per.select("doc", F.explode(edit.line_totals(edit.update_item(F.col("i"), 0, "qty", F.lit(3.0)))).alias("i")).select("doc", "i.pos", "i.qty", "i.total")
+
+
+@register("parser_info", "SELECT * FROM (VALUES ('doc_parser_json', 'OCR page JSON', 'json', true), ('generic_markdown', 'Markdown', 'md,txt', true), ('text_block', 'Text blocks', 'json,md,txt', true), ('llm_assisted', 'Language model', 'json,md,txt', false)) v(id, name, extensions, enabled)")
+def parser_info(s, sf):
+    return registry.Registry().info(t(s, sf, "orders"))
+
+
+@register("llm_content", "SELECT o_orderkey AS doc, 'Acme ' || o_orderkey || chr(10) || 'Total 5' AS shown FROM orders")
+def llm_content(s, sf):
+    """What a language model is shown of a page: its blocks' texts without tags."""
+    page = F.concat(F.lit('{"data": {"parsing_res_list": [{"block_content": "<b>Acme</b> '), F.col("o_orderkey").cast("string"), F.lit('"}, {"block_content": "Total<!-- x --> 5"}]}}'))
+    docs = t(s, sf, "orders").select(F.col("o_orderkey").alias("doc"), page.alias("content"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([extract.model_content("a.json", c) for c in b.column(1).to_pylist()], pa.string())], names=["doc", "shown"])
+
+    return docs.mapInArrow(run, "doc long, shown string")
